@@ -10,8 +10,7 @@ the number of shards follows the corpus.
    mark candidate windows; nothing else can recur.
 2. Confirming: candidates' 96-bit window hashes with the smallest doc_id of their shard
    meet by hash range; each shard learns of smaller doc_ids elsewhere.
-3. Each shard compiles its recurring windows, word by word as one character each, into
-   an Aho-Corasick automaton and streams all its texts through it to find every
+3. Each shard compiles its recurring windows, each word a few characters, into an Aho-Corasick automaton and streams all its texts through it to find every
    occurrence. A passage that thousands of texts share is one row a shard throughout.
 
 Defined cases: null text has no words; a text shorter than a window loses nothing; rows
@@ -64,11 +63,29 @@ def mix_high(x: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD1342543DE82EF95)
 
 
+def _groups(h: np.ndarray, g: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal (h, g) are together, and where each group begins in it."""
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    if g is not None:
+        other = np.zeros(len(h), bool)
+        other[1:] = g[order[1:]] != g[order[:-1]]
+        if (other & ~new).any():  # two windows with the same 64 bits
+            order = np.lexsort((g, h))
+            new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+    return order, np.flatnonzero(new)
+
+
 def _several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Sorted keys that occur with more than one doc."""
-    order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
-    return np.unique(k[1:][(k[1:] == k[:-1]) & (d[1:] != d[:-1])])
+    order, heads = _groups(key)
+    if not len(heads):
+        return key
+    d = doc[order]
+    return key[order[heads]][np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)]
 
 
 def _among(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -127,31 +144,28 @@ def _send_candidates(shards: int, window: int, gram: int):
         told = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in shared["body"].to_pylist()] or [np.zeros(0, np.uint64)]))
         hit = _among(anchor, told) | _among(anchor, _several(anchor, ids))
         at, ids = at[hit], ids[hit]
-        rows = np.empty(len(at), _CANDIDATE)
-        rows["h"], rows["g"], rows["doc"] = grams(words, window)[at], _second(words, window)[at], ids
-        rows = _lowest(rows)
+        rows = _lowest(grams(words, window)[at], _second(words, window)[at], ids)
         return _dealt(rows["h"], rows, shards, docs["shard"][0].as_py())
 
     return each
 
 
-def _lowest(rows: np.ndarray) -> np.ndarray:
-    """By window, the row with the smallest doc, sorted by window."""
-    rows = rows[np.lexsort((rows["doc"], rows["g"], rows["h"]))]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["g"][1:] != rows["g"][:-1])
-    return rows[new]
+def _lowest(h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """By window, a row with the smallest doc, sorted by window."""
+    order, heads = _groups(h, g)
+    rows = np.empty(len(heads), _CANDIDATE)
+    if len(heads):
+        rows["h"], rows["g"], rows["doc"] = h[order[heads]], g[order[heads]], np.minimum.reduceat(doc[order], heads)
+    return rows
 
 
 def _meet_candidates(table: pa.Table) -> pa.Table:
     parts = [np.frombuffer(b, _CANDIDATE) for b in table["body"].to_pylist()]
     rows = np.concatenate(parts)
     shard = np.repeat(np.array(table["shard"].to_pylist(), np.int32), [len(p) for p in parts])
-    order = np.lexsort((rows["doc"], rows["g"], rows["h"]))
+    order, heads = _groups(rows["h"].copy(), rows["g"].copy())
     rows, shard = rows[order], shard[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["g"][1:] != rows["g"][:-1])
-    low = rows["doc"][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    low = np.repeat(np.minimum.reduceat(rows["doc"].copy(), heads), np.diff(heads, append=len(rows)))
     use = np.flatnonzero(low < rows["doc"])
     rows["doc"][use] = low[use]
     use = use[np.argsort(shard[use], kind="stable")]
@@ -160,8 +174,30 @@ def _meet_candidates(table: pa.Table) -> pa.Table:
     return pa.table({"to": pa.array([table["to"][0].as_py()] * len(cut), pa.int32()), "shard": pa.array(shard[use][cut], pa.int32()), "body": pa.array([rows[use[a:b]].tobytes() for a, b in zip(cut, ends)], pa.binary())})
 
 
-def automaton(phrases: list[tuple[str, int]]) -> ahocorasick.Automaton:
-    """An Aho-Corasick automaton over phrases whose words are one character each; a value goes with each."""
+_BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
+
+
+def joined(text: bytes) -> bytes:
+    """The words joined by one space."""
+    out = text.translate(_BLANKS).strip(b" ")
+    return out if b"  " not in out else b" ".join(out.split())
+
+
+def codes(words: dict[bytes, str]) -> int:
+    """Gives each word as many characters as all need, each place with 64 of its own; returns how many.
+
+    A node's branches are searched one by one, so few branches and no false starts matter.
+    """
+    width = 1
+    while 64**width < len(words):
+        width += 1
+    for n, w in enumerate(words):
+        words[w] = "".join([chr(1 + 64 * k + (n >> 6 * k) % 64) for k in range(width)])
+    return width
+
+
+def automaton(phrases) -> ahocorasick.Automaton:
+    """An Aho-Corasick automaton over (phrase, value), phrases being strings of word codes."""
     out = ahocorasick.Automaton()
     for phrase, value in phrases:
         out.add_word(phrase, value)
@@ -173,58 +209,61 @@ def _locate(window: int):
     def each(docs: pa.Table, told: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         scan, words, at, ids = _windows(docs, window)
-        rows = np.empty(len(at), _CANDIDATE)
-        rows["h"], rows["g"], rows["doc"] = grams(words, window)[at] if len(at) else 0, _second(words, window)[at] if len(at) else 0, ids
-        own = np.lexsort((ids, rows["g"], rows["h"]))
-        new = np.ones(len(rows), bool)
-        h, g = rows["h"][own], rows["g"][own]
-        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        heads = np.flatnonzero(new)
-        low, high = ids[own][heads], ids[own][np.append(heads[1:], len(own)) - 1] if len(own) else ids
+        h, g = (grams(words, window)[at], _second(words, window)[at]) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        own, heads = _groups(h, g)
+        h, g = h[own[heads]], g[own[heads]]
+        low, high = (f.reduceat(ids[own], heads) for f in (np.minimum, np.maximum)) if len(at) else (ids, ids)
         there = np.concatenate([np.frombuffer(b, _CANDIDATE) for b in told["body"].to_pylist()] or [np.zeros(0, _CANDIDATE)])
-        there = there[np.lexsort((there["g"], there["h"]))]
+        there = there[np.argsort(there["h"])]
         if len(there):
-            low = low.copy()
-            spot = np.searchsorted(there["h"], h[heads])
+            there_h = there["h"].copy()
+            spot = np.searchsorted(there_h, h)
             for _ in range(4):  # windows with the same 64 bits stand side by side
                 ok = spot < len(there)
                 fits = np.zeros(len(spot), bool)
-                fits[ok] = (there["h"][spot[ok]] == h[heads][ok]) & (there["g"][spot[ok]] == g[heads][ok])
+                fits[ok] = (there_h[spot[ok]] == h[ok]) & (there["g"][spot[ok]] == g[ok])
                 low[fits] = np.minimum(low[fits], there["doc"][spot[fits]])
                 spot = spot + 1
-        use = np.flatnonzero(low < high)
-        first, value = at[own][heads][use], low[use]
-        texts = docs["text"].to_pylist()
-        split = [(t or "").encode().split() for t in texts]
-        chars: dict[bytes, str] = {}
+        use = low < high
+        first, value = at[own][heads[use]], low[use]
+        hit = np.repeat(np.where(use, low, NULL_ID), np.diff(heads, append=len(own))) < ids[own]
+        stream = set(scan.doc[at[own[hit]]].tolist())
+        texts = docs["text"]
+        code: dict[bytes, str] = {}
         if len(first):
-            of, start = scan.doc[first], scan.first[scan.doc[first]]
-            for d, s in zip(of.tolist(), (first - start).tolist()):
-                for w in split[d][s : s + window]:
-                    if w not in chars:
-                        n = len(chars) + 1
-                        chars[w] = chr(n if n < 0xD800 else n + 0x800)
-            phrases = [("".join([chars[w] for w in split[d][s : s + window]]), v) for d, s, v in zip(of.tolist(), (first - start).tolist(), value.tolist())]
-            found = automaton(phrases)
+            at_word = sorted(zip(scan.doc[first].tolist(), (first - scan.first[scan.doc[first]]).tolist(), value.tolist()))
+            phrases, d_now, parts = [], -1, []
+            for d, i, v in at_word:
+                if d != d_now:
+                    d_now, parts = d, (texts[d].as_py() or "").encode().split()
+                phrase = parts[i : i + window]
+                code.update(dict.fromkeys(phrase, ""))
+                phrases.append((phrase, v))
+            width = codes(code)
+            found = automaton(("".join([code[w] for w in phrase]), v) for phrase, v in phrases)
+            del phrases, at_word
         out = []
-        doc_ids = docs["doc_id"].to_pylist()
-        for doc_id, text, parts in zip(doc_ids, texts, split):
-            gone, me = 0, int(NULL_ID) if doc_id is None else doc_id
-            if len(first) and len(parts) >= window:
-                stream, until, keep_ = "".join([chars.get(w, "\0") for w in parts]), 0, []
-                for end, smallest in found.iter(stream):
-                    if smallest < me:
-                        begin = end - window + 1
-                        if begin > until:
-                            keep_.append((until, begin))
-                            gone += end + 1 - begin
-                        else:
-                            gone += end + 1 - until
-                        until = end + 1
-                if gone:
-                    keep_.append((until, len(parts)))
-                    parts = [w for a, b in keep_ for w in parts[a:b]]
-            out.append((doc_id, len(parts) + gone, gone, b" ".join(parts).decode()))
+        for d, doc_id in enumerate(docs["doc_id"].to_pylist()):
+            text, n = (texts[d].as_py() or "").encode(), int(scan.n_words[d])
+            if d not in stream:  # none of its windows is among the recurring ones
+                out.append((doc_id, n, 0, joined(text).decode()))
+                continue
+            parts, gone, me = text.split(), 0, int(NULL_ID) if doc_id is None else doc_id
+            unknown, until, keep_ = "\0" * width, 0, []
+            for last, smallest in found.iter("".join([code.get(w, unknown) for w in parts])):
+                if smallest < me:
+                    end = last // width
+                    begin = end - window + 1
+                    if begin > until:
+                        keep_.append((until, begin))
+                        gone += end + 1 - begin
+                    else:
+                        gone += end + 1 - until
+                    until = end + 1
+            if gone:
+                keep_.append((until, n))
+                parts = [w for a, b in keep_ for w in parts[a:b]]
+            out.append((doc_id, n, gone, b" ".join(parts).decode()))
         cols = list(zip(*out))
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n_words": pa.array(cols[1], pa.int64()), "n_removed": pa.array(cols[2], pa.int64()), "kept": pa.array(cols[3], pa.string())})
 
