@@ -12,6 +12,14 @@ given blocks (about 32 bits) meet. Equal fingerprints are one class beforehand.
 crowded bucket is dealt to pairs of chunks, each a group of its own, and a group gives
 a spanning forest of its links, never all of them.
 
+``similar`` is the same for a similarity instead of a number of bits (five words and a
+Jaccard similarity of 0.8 unless told otherwise). Such texts differ by many bits, so it
+takes 128-bit fingerprints, lets them meet in tables that each compare about log2(classes)
+sampled bits, as many tables as find 95 % of the pairs at the least similarity and more
+of those above it, keeps each document's nearest and smallest earlier partner, and
+verifies these on the whole sets of shingles. At that many bits pivots discard next to
+nothing, so the distance is taken at once.
+
 Defined cases: null or wordless text has fingerprint 0 and links like any other; equal
 fingerprints link; repeated doc_ids stay repeated rows; a null doc_id stands in no
 component's minimum, and a component of null ids alone is null; other columns are
@@ -20,15 +28,17 @@ ignored; an empty table gives an empty result. A single text must fit a worker.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, keep, roots, runs, tune
+from millrace.llm.common import Scan, components, grams, keep, mix, pieces, roots, runs, tune
 
 PIVOTS = np.random.Generator(np.random.PCG64(64)).integers(0, 1 << 64, 24, dtype=np.uint64)
 CHUNK = 256
@@ -146,5 +156,155 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFra
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---------------------------------------------------------------- by similarity
+
+LANES = (np.uint64(0x8F1BBCDCBFA53E0B), np.uint64(0x3C6EF372FE94F82B))
+WIDE, RECALL, VOTES = 64 * len(LANES), 0.95, 1 << 16
+
+
+def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' shingles of k words, A-Z lowered, and the text of each; a text of fewer words is one shingle."""
+    scan = Scan(pc.ascii_lower(texts))
+    words = scan.hashes()
+    at = np.arange(max(0, len(words) - k + 1))
+    at = at[scan.doc[at] == scan.doc[at + k - 1]] if len(at) else at
+    g, doc = grams(words, k)[at] if len(at) else np.zeros(0, np.uint64), scan.doc[at]
+    few = np.flatnonzero((scan.n_words > 0) & (scan.n_words < k))
+    if len(few):
+        whole = np.array([grams(words[scan.first[d] : scan.first[d + 1]], int(scan.n_words[d]))[0] for d in few], np.uint64)
+        g, doc = np.concatenate([g, whole]), np.concatenate([doc, few])
+        order = np.argsort(doc, kind="stable")
+        g, doc = g[order], doc[order]
+    return g, doc
+
+
+def wide(texts: pa.Array, k: int) -> np.ndarray:
+    """A row of majority bits for each text, a column a lane; wordless texts have zeros."""
+    g, doc = shingles(texts, k)
+    out = np.zeros((len(texts), len(LANES)), np.uint64)
+    count = np.bincount(doc, minlength=len(texts))
+    for lane, salt in enumerate(LANES):
+        votes = np.zeros((len(texts), 64), np.int64)
+        for a in range(0, len(g), VOTES):
+            d = doc[a : a + VOTES]
+            heads = np.flatnonzero(np.diff(d, prepend=-1))
+            bits = np.unpackbits(mix(g[a : a + VOTES] ^ salt).view(np.uint8)).reshape(-1, 64)
+            votes[d[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.uint32)
+        out[:, lane] = np.packbits(2 * votes > count[:, None], axis=1).view(np.uint64)[:, 0]
+    return out
+
+
+def plan(n: int, similarity: float) -> tuple[np.ndarray, int]:
+    """Bit masks of the tables for n fingerprints, a row each, and the most bits by which partners may differ."""
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    size = min(WIDE // 2, max(12, math.ceil(math.log2(max(2, n)))))
+    tables = math.ceil(math.log(1 - RECALL) / math.log1p(-((1 - apart) ** size)))
+    rng = np.random.Generator(np.random.PCG64(128))
+    flags = np.zeros((tables, WIDE), np.uint8)
+    for row in flags:
+        row[rng.choice(WIDE, size, replace=False)] = 1
+    return np.packbits(flags, axis=1).view(np.uint64), math.ceil(WIDE * apart + 3 * math.sqrt(WIDE * apart * (1 - apart)))
+
+
+def _tabled(tables: np.ndarray):
+    def each(batches):
+        for b in batches:
+            f0, f1 = (b[c].to_numpy().view(np.uint64) for c in ("f0", "f1"))
+            for t, (m0, m1) in enumerate(tables):
+                k = mix((f0 & m0) ^ mix((f1 & m1) + np.uint64(t)))
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b["rep"], b["f0"], b["f1"]], names=["k", "rep", "f0", "f1"])
+
+    return each
+
+
+def _partners(most: int):
+    """(a, b, bits, least): of each row its nearest earlier partner in its group, and its first one."""
+
+    def each(batches):
+        for table in runs(batches, ["k", "lo", "hi"]):
+            col = lambda c: table[c].to_numpy()
+            rep, f0, f1, chunk, n = col("rep"), col("f0").view(np.uint64), col("f1").view(np.uint64), col("c"), table.num_rows
+            edge = np.ones(n, bool)
+            edge[1:] = (col("k")[1:] != col("k")[:-1]) | (col("lo")[1:] != col("lo")[:-1]) | (col("hi")[1:] != col("hi")[:-1])
+            last = np.append(np.flatnonzero(edge)[1:], n)[np.cumsum(edge) - 1]
+            across = col("lo") != col("hi")
+            best, first = np.full(n, 1 << 62), np.full(n, n)
+            i, off = np.arange(n), 1
+            while len(i := i[i + off < last[i]]):
+                a = i[~across[i] | (chunk[i] != chunk[i + off])]
+                bits = np.bitwise_count(f0[a] ^ f0[a + off]).astype(np.int64) + np.bitwise_count(f1[a] ^ f1[a + off])
+                near_ = bits <= most
+                a, bits = a[near_], bits[near_]
+                best[a + off] = np.minimum(best[a + off], (bits << 40) + a)
+                first[a + off] = np.minimum(first[a + off], a)
+                off += 1
+            at = np.flatnonzero(first < n)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[best[at] & ((1 << 40) - 1)]), pa.array(best[at] >> 40), pa.array(rep[first[at]])], names=["a", "b", "bits", "least"])
+
+    return each
+
+
+def _sets(k: int):
+    def each(batches):
+        for batch in batches:
+            for b in pieces(batch, "text"):
+                g, doc = shingles(b["text"], k)
+                g = (g >> np.uint64(32)).astype(np.uint32)
+                cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([np.unique(g[x:y]).tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "s"])
+
+    return each
+
+
+def _verified(similarity: float):
+    def each(batches):
+        for b in batches:
+            good = []
+            for x, y in zip(b["s"].to_pylist(), b["other"].to_pylist()):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = np.sort(np.concatenate([x, y]))
+                same = int((both[1:] == both[:-1]).sum())
+                good.append(same >= similarity * (len(x) + len(y) - same))
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return each
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every document with an id: the smallest doc_id that links of at least this similarity reach.
+
+    Rows of one doc_id are one document, which any of its texts links. Fingerprints alike
+    in all 128 bits are one class, named by its smallest doc_id. A row without an id
+    is in no group and not returned.
+    """
+    tune(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+
+    def each(batches):
+        for batch in batches:
+            for b in pieces(batch, "text"):
+                got = wide(b["text"], shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(np.ascontiguousarray(got[:, x])) for x in (0, 1))], names=["doc_id", "f0", "f1"])
+
+    prints = keep(rows.mapInArrow(each, "doc_id long, f0 long, f1 long"))
+    classes = keep(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")))
+    tables, most = plan(classes.count(), similarity)
+    tabled = classes.mapInArrow(_tabled(tables), "k long, rep long, f0 long, f1 long")
+    full = keep(tabled.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
+    chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("long")
+    met = tabled.join(full, "k").withColumn("c", F.pmod(F.xxhash64("f0", "f1"), chunks))
+    met = met.select("k", "rep", "f0", "f1", "c", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("o"))
+    met = met.select("k", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "rep", "f0", "f1").repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "rep")
+    partners = met.mapInArrow(_partners(most), "a long, b long, bits long, least long")
+    partners = partners.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"), F.min("least").alias("least"))
+    edges = keep(partners.select("a", F.explode(F.array_distinct(F.array("b", "least"))).alias("b")).where("a <> b"))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    sets = keep(rows.join(ends, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets(shingle), "doc_id long, s binary"))
+    pairs = edges.join(sets.select(F.col("doc_id").alias("a"), "s"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("other")), "b")
+    joined = components(pairs.mapInArrow(_verified(similarity), "a long, b long"))
+    of = keep(classes.join(joined, F.col("rep") == F.col("node"), "left").select("f0", "f1", F.coalesce("component", "rep").alias("component_id")))
+    return prints.join(of, ["f0", "f1"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

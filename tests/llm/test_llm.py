@@ -69,6 +69,36 @@ def test_simhash_chunks_lose_nothing(spark):
     assert len(set(zip(names, want))) == len(set(names)) == len(set(want))
 
 
+def test_similar_texts(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    base = [rng.choices(vocab, k=300) for _ in range(40)]
+    texts = [" ".join(w) for w in base]
+    for w in base[:20]:
+        for places in ([7], [3, 250]):  # similarities of about 0.97 and 0.93
+            other = list(w)
+            for p in places:
+                other[p] = "X"
+            texts.append(" ".join(other).upper())
+    texts += [" ".join(w[:150] + rng.choices(vocab, k=150)) for w in base[:20]]  # about a third
+    texts += [texts[0], texts[39], "", None, " \t", "a b", "A  B", "c"]
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs(spark, texts)).collect()}
+    want = list(range(40)) + [i for i in range(20) for _ in range(2)] + list(range(80, 100)) + [0, 39, 102, 102, 102, 105, 105, 107]
+    assert got == dict(enumerate(want))
+    none = spark.createDataFrame([(None,) * 6] * 2 + [(3, None, None, None, None, None), (3, "a b c", None, None, None, None)], DOCS)
+    assert [tuple(r) for r in simhash.similar(none).collect()] == [(3, 3)] and simhash.similar(docs(spark, [])).count() == 0
+    g, d = simhash.shingles(__import__("pyarrow").array(["a b C d e f", None, "a B c d e"]), 5)
+    assert d.tolist() == [0, 0, 2] and g[0] == g[2] != g[1]
+
+
+def test_similar_groups_in_chunks(spark):
+    rng = random.Random(9)
+    base = rng.choices([f"w{i}" for i in range(3000)], k=200)
+    texts = [" ".join(base[:k % 200] + [f"x{k}"] + base[k % 200 + 1 :]) for k in range(700)]
+    got = simhash.similar(docs(spark, texts)).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 700
+
+
 def brute_substring(rows, window=13):
     low, out = {}, {}
     split = [(d, (t or "").encode().split()) for d, t in rows]
@@ -223,7 +253,7 @@ def test_warc(spark):
     assert hashlib.sha256(conv[1].block.encode()).hexdigest() == conv[1].block_digest
 
 
-@pytest.mark.parametrize("run", [simhash.near_duplicates, substring.dedup, mixing.mix, mixing.mixed, licenses.scan, lambda d: quality.rules(d, P.path("piece_bpe_32k.model")), lambda d: bpe.digests(d, RANKS, P.PATTERN), lambda d: packing.pack(d, RANKS, P.PATTERN)])
+@pytest.mark.parametrize("run", [simhash.near_duplicates, simhash.similar, substring.dedup, mixing.mix, mixing.mixed, licenses.scan, lambda d: quality.rules(d, P.path("piece_bpe_32k.model")), lambda d: bpe.digests(d, RANKS, P.PATTERN), lambda d: packing.pack(d, RANKS, P.PATTERN)])
 def test_empty_and_null_tables(spark, run):
     assert run(docs(spark, [])).count() == 0
     nulls = spark.createDataFrame([(None,) * 6] * 3 + [(1, None, None, None, None, None)] * 2, DOCS)
@@ -237,6 +267,7 @@ def test_pipeline(spark, tmp_path):
     docs(spark, texts).drop("body").write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert got and {r.doc_id for r in got} <= set(range(len(texts)))
+    assert corpus_pipeline.near_dedup(spark, docs(spark, texts + [texts[0]]).drop("body"), "").where(f"doc_id = {len(texts)}").count() == 0
     good = quality.filtered(docs(spark, texts).drop("body"), P.path("piece_bpe_32k.model"))
     kept = corpus_pipeline.near_dedup(spark, good, str(tmp_path))
     assert kept.columns == corpus_pipeline.COLUMNS
