@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import keep, tune
 
 BITS, STEP = 63, 12
+MOST_BROADCAST = 100_000  # rows about sources; beyond it the join is left to the planner
 
 
 def targets(sizes: dict[str | None, int], weights=(1, 2, 3), most: int = 3) -> dict[str | None, float]:
@@ -43,6 +44,11 @@ def targets(sizes: dict[str | None, int], weights=(1, 2, 3), most: int = 3) -> d
     return out
 
 
+def _about(spark, rows: list[tuple], schema: str) -> DataFrame:
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= MOST_BROADCAST else df
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h): words, and 63 bits of hash."""
 
@@ -64,8 +70,8 @@ def thresholds(rows: DataFrame, wanted: dict[str | None, float]) -> dict[str | N
     shift, part = BITS, rows
     while at:
         step = min(STEP, shift)
-        edges = spark.createDataFrame([(s, p, float(n)) for s, (p, n) in at.items()], "s string, p long, n double")
-        part = part.join(F.broadcast(edges), F.col("source").eqNullSafe(F.col("s")) & (F.shiftrightunsigned("h", shift).cast("long") == F.col("p")) if shift < BITS else F.col("source").eqNullSafe(F.col("s"))).where("size > 0")
+        edges = _about(spark, [(s, p, float(n)) for s, (p, n) in at.items()], "s string, p long, n double")
+        part = part.join(edges, F.col("source").eqNullSafe(F.col("s")) & (F.shiftrightunsigned("h", shift).cast("long") == F.col("p")) if shift < BITS else F.col("source").eqNullSafe(F.col("s"))).where("size > 0")
         shift -= step
         hist = part.groupBy("source", "n", F.shiftrightunsigned("h", shift).alias("b")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
         upon = Window.partitionBy("source").orderBy("b")
@@ -98,7 +104,7 @@ def _plan(rows: DataFrame, weights, most) -> DataFrame:
     goal = targets(sizes, weights, most)
     times = {s: min(most, int(goal[s] // n)) if n else 0 for s, n in sizes.items()}
     upto = thresholds(rows, {s: goal[s] - times[s] * n if times[s] < most else 0.0 for s, n in sizes.items()})
-    plan = spark.createDataFrame([(s, n, goal[s], times[s], upto[s]) for s, n in sizes.items()], "s string, source_size long, target double, times int, upto long")
+    plan = _about(spark, [(s, n, goal[s], times[s], upto[s]) for s, n in sizes.items()], "s string, source_size long, target double, times int, upto long")
     copies = (F.col("times") + (F.col("h") <= F.col("upto")).cast("int")).alias("copies")
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "h", "size", "source_size", "target", copies)
     return out.withColumn("taken", F.col("size") * F.col("copies"))
