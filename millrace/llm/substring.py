@@ -22,6 +22,8 @@ table gives an empty result. A single text must fit a worker (about 40 times its
 from __future__ import annotations
 
 import hashlib
+import math
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -34,6 +36,7 @@ from millrace.llm.common import Scan, grams, keep, tune
 
 WINDOW, GRAM = 13, 6
 SHARD_BYTES, LEAST_SHARDS = 2 << 20, 64
+BRANCHES = 192
 NULL_ID = np.int64((1 << 63) - 1)
 _ROWS = "to int, shard int, body binary"
 _OUT = "doc_id long, n_words long, n_removed long, kept string"
@@ -184,15 +187,20 @@ def joined(text: bytes) -> bytes:
 
 
 def codes(words: dict[bytes, str]) -> int:
-    """Gives each word as many characters as all need, each place with 64 of its own; returns how many.
+    """Gives each word as many characters as all need, each place with its own; returns how many.
 
-    A node's branches are searched one by one, so few branches and no false starts matter.
+    A node's branches are searched one by one, so a place has at most BRANCHES characters,
+    and places share none, so that no match begins within a word. Fewer characters a word
+    make fewer nodes.
     """
     width = 1
-    while 64**width < len(words):
+    while BRANCHES**width < len(words):
         width += 1
+    base = max(2, math.ceil(len(words) ** (1 / width)))
+    while base**width < len(words):  # the root was rounded down
+        base += 1
     for n, w in enumerate(words):
-        words[w] = "".join([chr(1 + 64 * k + (n >> 6 * k) % 64) for k in range(width)])
+        words[w] = "".join([chr(1 + base * k + n // base**k % base) for k in range(width)])
     return width
 
 
@@ -231,17 +239,20 @@ def _locate(window: int):
         texts = docs["text"]
         code: dict[bytes, str] = {}
         if len(first):
-            at_word = sorted(zip(scan.doc[first].tolist(), (first - scan.first[scan.doc[first]]).tolist(), value.tolist()))
-            phrases, d_now, parts = [], -1, []
-            for d, i, v in at_word:
-                if d != d_now:
-                    d_now, parts = d, (texts[d].as_py() or "").encode().split()
-                phrase = parts[i : i + window]
-                code.update(dict.fromkeys(phrase, ""))
-                phrases.append((phrase, v))
+            covered = np.zeros(len(words) + 1, np.int64)
+            np.add.at(covered, first, 1)
+            np.subtract.at(covered, first + window, 1)
+            covered = np.cumsum(covered)[: len(words)] > 0
+            homes = {}  # the texts that hold the phrases, cut into words
+            for d in np.unique(scan.doc[first]).tolist():
+                homes[d] = homed = (texts[d].as_py() or "").encode().split(), covered[scan.first[d] : scan.first[d + 1]].tolist()
+                code.update(dict.fromkeys(compress(*homed), ""))
             width = codes(code)
-            found = automaton(("".join([code[w] for w in phrase]), v) for phrase, v in phrases)
-            del phrases, at_word
+            coded = {d: "".join([code[w] if c else "\0" * width for w, c in zip(*home)]) for d, home in homes.items()}
+            begin = (first - scan.first[scan.doc[first]]) * width
+            at_word = zip(scan.doc[first].tolist(), begin.tolist(), value.tolist())
+            found = automaton((coded[d][i : i + window * width], v) for d, i, v in at_word)
+            del homes, coded, at_word
         out = []
         for d, doc_id in enumerate(docs["doc_id"].to_pylist()):
             text, n = (texts[d].as_py() or "").encode(), int(scan.n_words[d])
