@@ -17,7 +17,8 @@ Jaccard similarity of 0.8 unless told otherwise). Such texts differ by many bits
 takes 128-bit fingerprints, lets them meet in tables that each compare about log2(classes)
 sampled bits, as many tables as find 95 % of the pairs at the least similarity and more
 of those above it, keeps each document's nearest and smallest earlier partner, and
-verifies these on the whole sets of shingles. At that many bits pivots discard next to
+verifies these on the whole sets of shingles. Documents verified to be near the first one
+of a bucket aren't compared with each other, so a large group of near copies is no square. At that many bits pivots discard next to
 nothing, so the distance is taken at once.
 
 Defined cases: null or wordless text has fingerprint 0 and links like any other; equal
@@ -212,7 +213,7 @@ def _tabled(tables: np.ndarray):
             f0, f1 = (b[c].to_numpy().view(np.uint64) for c in ("f0", "f1"))
             for t, (m0, m1) in enumerate(tables):
                 k = mix((f0 & m0) ^ mix((f1 & m1) + np.uint64(t)))
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b["rep"], b["f0"], b["f1"]], names=["k", "rep", "f0", "f1"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b["rep"], b["f0"], b["f1"], b["done"]], names=["k", "rep", "f0", "f1", "done"])
 
     return each
 
@@ -289,19 +290,37 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     prints = keep(rows.mapInArrow(each, "doc_id long, f0 long, f1 long"))
     classes = keep(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")))
     tables, most = plan(classes.count(), similarity)
-    tabled = classes.mapInArrow(_tabled(tables), "k long, rep long, f0 long, f1 long")
-    full = keep(tabled.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
-    chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("long")
-    met = tabled.join(full, "k").withColumn("c", F.pmod(F.xxhash64("f0", "f1"), chunks))
-    met = met.select("k", "rep", "f0", "f1", "c", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("o"))
-    met = met.select("k", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "rep", "f0", "f1").repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "rep")
+    schema = "k long, rep long, f0 long, f1 long, done boolean"
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        edges = keep(pairs)
+        ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        sets = keep(rows.join(ends, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets(shingle), "doc_id long, s binary"))
+        both = edges.join(sets.select(F.col("doc_id").alias("a"), "s"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("other")), "b")
+        return keep(both.mapInArrow(_verified(similarity), "a long, b long"))
+
+    # A bucket's first row is its hub: rows verified to be near a hub need not meet each other.
+    tabled = classes.withColumn("done", F.lit(False)).mapInArrow(_tabled(tables), schema)
+    hubs = keep(tabled.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("rep", "f0", "f1")).alias("hub")).where("n > 1"))
+    bits = F.bit_count(F.col("f0").bitwiseXOR(F.col("hub.f0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("hub.f1")))
+    near_hub = tabled.join(hubs, "k").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), bits.alias("bits")).where(f"a <> b AND bits <= {most}")
+    found = verified(near_hub.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b")))
+    flagged = keep(classes.join(found.select("a").distinct(), F.col("rep") == F.col("a"), "left").select("rep", "f0", "f1", F.col("a").isNotNull().alias("done")))
+    tabled = flagged.mapInArrow(_tabled(tables), schema)
+    full = keep(tabled.groupBy("k").agg(F.count_if(~F.col("done")).alias("open"), F.count_if("done").alias("shut")).where("open > 0 AND open + shut > 1"))
+    chunks = lambda c: F.ceil(F.col(c) / F.lit(CHUNK)).cast("long")
+    upto = lambda c: F.slice(F.sequence(F.lit(0).cast("long"), chunks(c)), F.lit(1), chunks(c).cast("int"))
+    pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    own = F.pmod(F.xxhash64("f0", "f1"), F.when(F.col("done"), chunks("shut")).otherwise(chunks("open")))
+    met = tabled.join(full, "k").withColumn("c", F.when(F.col("done"), -1 - own).otherwise(own))
+    c = F.col("c")
+    groups = F.when(F.col("done"), F.transform(upto("open"), lambda o: pair(o, c))).otherwise(F.concat(F.transform(upto("open"), lambda o: pair(F.least(c, o), F.greatest(c, o))), F.transform(upto("shut"), lambda o: pair(c, -1 - o))))
+    met = met.select("k", "rep", "f0", "f1", "c", F.explode(groups).alias("g")).select("k", "g.lo", "g.hi", "c", "rep", "f0", "f1")
+    met = met.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "rep")
     partners = met.mapInArrow(_partners(most), "a long, b long, bits long, least long")
     partners = partners.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"), F.min("least").alias("least"))
-    edges = keep(partners.select("a", F.explode(F.array_distinct(F.array("b", "least"))).alias("b")).where("a <> b"))
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    sets = keep(rows.join(ends, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets(shingle), "doc_id long, s binary"))
-    pairs = edges.join(sets.select(F.col("doc_id").alias("a"), "s"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("other")), "b")
-    joined = components(pairs.mapInArrow(_verified(similarity), "a long, b long"))
+    more = verified(partners.select("a", F.explode(F.array_distinct(F.array("b", "least"))).alias("b")).where("a <> b"))
+    joined = components(found.unionByName(more))
     of = keep(classes.join(joined, F.col("rep") == F.col("node"), "left").select("f0", "f1", F.coalesce("component", "rep").alias("component_id")))
     return prints.join(of, ["f0", "f1"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
