@@ -16,9 +16,12 @@ a spanning forest of its links, never all of them.
 Jaccard similarity of 0.8 unless told otherwise). Such texts differ by many bits, so it
 takes 128-bit fingerprints, lets them meet in tables that each compare about log2(classes)
 sampled bits, as many tables as find 95 % of the pairs at the least similarity and more
-of those above it, keeps each document's nearest and smallest earlier partner, and
-verifies these on the whole sets of shingles. Documents verified to be near the first one
-of a bucket aren't compared with each other, so a large group of near copies is no square. At that many bits pivots discard next to
+of those above it, and verifies pairs on the whole sets of shingles. That is done thrice:
+each document with the nearest first one of its buckets; then with its nearest and its
+smallest earlier partner; then every pair left that meets within the bits. Only pairs that
+verified links already put in one component are left out, which changes no component but
+keeps a large group of near copies from being a square. Texts are one class beforehand
+where their whole sets of shingles agree. At that many bits pivots discard next to
 nothing, so the distance is taken at once.
 
 Defined cases: null or wordless text has fingerprint 0 and links like any other; equal
@@ -179,9 +182,14 @@ def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return g, doc
 
 
-def wide(texts: pa.Array, k: int) -> np.ndarray:
-    """A row of majority bits for each text, a column a lane; wordless texts have zeros."""
+def wide(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of majority bits of each text's set of shingles, a column a lane; a hash of the set; its size. Wordless texts have zeros."""
     g, doc = shingles(texts, k)
+    order = np.lexsort((g, doc))
+    g, doc = g[order], doc[order]
+    once = np.ones(len(g), bool)
+    once[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+    g, doc = g[once], doc[once]
     out = np.zeros((len(texts), len(LANES)), np.uint64)
     count = np.bincount(doc, minlength=len(texts))
     for lane, salt in enumerate(LANES):
@@ -192,7 +200,9 @@ def wide(texts: pa.Array, k: int) -> np.ndarray:
             bits = np.unpackbits(mix(g[a : a + VOTES] ^ salt).view(np.uint8)).reshape(-1, 64)
             votes[d[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.uint32)
         out[:, lane] = np.packbits(2 * votes > count[:, None], axis=1).view(np.uint64)[:, 0]
-    return out
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(g + LANES[0]), dtype=np.uint64)))
+    ends = np.cumsum(count)
+    return out, sums[ends] - sums[ends - count], count
 
 
 def plan(n: int, similarity: float) -> tuple[np.ndarray, int]:
@@ -207,40 +217,64 @@ def plan(n: int, similarity: float) -> tuple[np.ndarray, int]:
     return np.packbits(flags, axis=1).view(np.uint64), math.ceil(WIDE * apart + 3 * math.sqrt(WIDE * apart * (1 - apart)))
 
 
+def _key(f0: np.ndarray, f1: np.ndarray, t: int, table: np.ndarray) -> np.ndarray:
+    return mix((f0 & table[0]) ^ mix((f1 & table[1]) + np.uint64(t)))
+
+
 def _tabled(tables: np.ndarray):
     def each(batches):
         for b in batches:
             f0, f1 = (b[c].to_numpy().view(np.uint64) for c in ("f0", "f1"))
-            for t, (m0, m1) in enumerate(tables):
-                k = mix((f0 & m0) ^ mix((f1 & m1) + np.uint64(t)))
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b["rep"], b["f0"], b["f1"], b["done"]], names=["k", "rep", "f0", "f1", "done"])
+            rest = ["rep", "f0", "f1", "n", "comp"]
+            for t, table in enumerate(tables):
+                k = _key(f0, f1, t, table)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *(b[c] for c in rest)], names=["k", *rest])
 
     return each
 
 
-def _partners(most: int):
-    """(a, b, bits, least): of each row its nearest earlier partner in its group, and its first one."""
+def _partners(tables: np.ndarray, most: int, similarity: float, every: bool):
+    """(a, b, bits, least): of each row its nearest earlier partner of another component in its group, and its first one.
+
+    ``every``: all its earlier partners instead, each in the first table where the two meet; least is b.
+    """
 
     def each(batches):
         for table in runs(batches, ["k", "lo", "hi"]):
             col = lambda c: table[c].to_numpy()
-            rep, f0, f1, chunk, n = col("rep"), col("f0").view(np.uint64), col("f1").view(np.uint64), col("c"), table.num_rows
+            k, rep, f0, f1, chunk, n = col("k"), col("rep"), col("f0").view(np.uint64), col("f1").view(np.uint64), col("c"), table.num_rows
+            size, comp = col("n"), col("comp")
             edge = np.ones(n, bool)
-            edge[1:] = (col("k")[1:] != col("k")[:-1]) | (col("lo")[1:] != col("lo")[:-1]) | (col("hi")[1:] != col("hi")[:-1])
+            edge[1:] = (k[1:] != k[:-1]) | (col("lo")[1:] != col("lo")[:-1]) | (col("hi")[1:] != col("hi")[:-1])
             last = np.append(np.flatnonzero(edge)[1:], n)[np.cumsum(edge) - 1]
             across = col("lo") != col("hi")
-            best, first = np.full(n, 1 << 62), np.full(n, n)
+            best, first, found = np.full(n, 1 << 62), np.full(n, n), []
             i, off = np.arange(n), 1
             while len(i := i[i + off < last[i]]):
-                a = i[~across[i] | (chunk[i] != chunk[i + off])]
+                a = i[(~across[i] | (chunk[i] != chunk[i + off])) & (comp[i] != comp[i + off])]
                 bits = np.bitwise_count(f0[a] ^ f0[a + off]).astype(np.int64) + np.bitwise_count(f1[a] ^ f1[a + off])
-                near_ = bits <= most
+                near_ = (bits <= most) & (np.minimum(size[a], size[a + off]) >= similarity * np.maximum(size[a], size[a + off]))
                 a, bits = a[near_], bits[near_]
-                best[a + off] = np.minimum(best[a + off], (bits << 40) + a)
-                first[a + off] = np.minimum(first[a + off], a)
+                if every:
+                    found.append((a, a + off, bits))
+                else:
+                    best[a + off] = np.minimum(best[a + off], (bits << 40) + a)
+                    first[a + off] = np.minimum(first[a + off], a)
                 off += 1
-            at = np.flatnonzero(first < n)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[best[at] & ((1 << 40) - 1)]), pa.array(best[at] >> 40), pa.array(rep[first[at]])], names=["a", "b", "bits", "least"])
+            if every:
+                a, b, bits = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
+                here, open_ = np.zeros(len(a), bool), np.arange(len(a))
+                for t, m in enumerate(tables):
+                    x, y = a[open_], b[open_]
+                    meet = (((f0[x] ^ f0[y]) & m[0]) | ((f1[x] ^ f1[y]) & m[1])) == 0
+                    at = open_[meet]
+                    here[at] = _key(f0[a[at]], f1[a[at]], t, m).view(np.int64) == k[a[at]]
+                    open_ = open_[~meet]
+                out = rep[b[here]], rep[a[here]], bits[here], rep[a[here]]
+            else:
+                at = np.flatnonzero(first < n)
+                out = rep[at], rep[best[at] & ((1 << 40) - 1)], best[at] >> 40, rep[first[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b", "bits", "least"])
 
     return each
 
@@ -274,8 +308,8 @@ def _verified(similarity: float):
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every document with an id: the smallest doc_id that links of at least this similarity reach.
 
-    Rows of one doc_id are one document, which any of its texts links. Fingerprints alike
-    in all 128 bits are one class, named by its smallest doc_id. A row without an id
+    Rows of one doc_id are one document, which any of its texts links. Texts with one set
+    of shingles are one class, named by its smallest doc_id. A row without an id
     is in no group and not returned.
     """
     tune(docs.sparkSession)
@@ -284,45 +318,59 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     def each(batches):
         for batch in batches:
             for b in pieces(batch, "text"):
-                got = wide(b["text"], shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(np.ascontiguousarray(got[:, x])) for x in (0, 1))], names=["doc_id", "f0", "f1"])
+                bits, whole, size = wide(b["text"], shingle)
+                cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (whole, bits[:, 0], bits[:, 1], size)]
+                yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], names=["doc_id", "h", "f0", "f1", "n"])
 
-    prints = keep(rows.mapInArrow(each, "doc_id long, f0 long, f1 long"))
-    classes = keep(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")))
-    tables, most = plan(classes.count(), similarity)
-    schema = "k long, rep long, f0 long, f1 long, done boolean"
+    prints = keep(rows.mapInArrow(each, "doc_id long, h long, f0 long, f1 long, n long"))
+    labels = keep(prints.groupBy("h", "f0", "f1").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")).withColumn("comp", F.col("rep")))
+    tables, most = plan(labels.count(), similarity)
+    schema = "k long, rep long, f0 long, f1 long, n long, comp long"
 
     def verified(pairs: DataFrame) -> DataFrame:
         edges = keep(pairs)
-        ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        ends = keep(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
         sets = keep(rows.join(ends, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets(shingle), "doc_id long, s binary"))
         both = edges.join(sets.select(F.col("doc_id").alias("a"), "s"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("other")), "b")
         return keep(both.mapInArrow(_verified(similarity), "a long, b long"))
 
-    # A bucket's first row is its hub: rows verified to be near a hub need not meet each other.
-    tabled = classes.withColumn("done", F.lit(False)).mapInArrow(_tabled(tables), schema)
-    hubs = keep(tabled.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("rep", "f0", "f1")).alias("hub")).where("n > 1"))
+    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The labels after the pairs' verified links."""
+        of = labels.select("rep", "comp").distinct()
+        edges = verified(pairs).join(of.select(F.col("rep").alias("a"), F.col("comp").alias("x")), "a").join(of.select(F.col("rep").alias("b"), F.col("comp").alias("y")), "b")
+        tops = keep(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        return keep(labels.join(tops, F.col("comp") == F.col("node"), "left").select("h", "f0", "f1", "rep", "n", F.coalesce("component", "comp").alias("comp")))
+
+    def partners(labels: DataFrame, every: bool) -> DataFrame:
+        tabled = labels.mapInArrow(_tabled(tables), schema)
+        full = tabled.groupBy("k", "comp").agg(F.count("*").alias("m")).groupBy("k").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
+        full = keep(full.where("all > top.m").select("k", F.col("top.comp").alias("largest"), F.col("top.m").alias("shut"), (F.col("all") - F.col("top.m")).alias("open")))
+        # Rows of the bucket's largest component need not meet each other.
+        done = F.col("comp") == F.col("largest")
+        chunks = lambda c: F.ceil(F.col(c) / F.lit(CHUNK)).cast("long")
+        upto = lambda c: F.slice(F.sequence(F.lit(0).cast("long"), chunks(c)), F.lit(1), chunks(c).cast("int"))
+        pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+        own = F.pmod(F.xxhash64("rep"), F.when(done, chunks("shut")).otherwise(chunks("open")))
+        met = tabled.join(full, "k").withColumn("c", F.when(done, -1 - own).otherwise(own))
+        c = F.col("c")
+        groups = F.when(done, F.transform(upto("open"), lambda o: pair(o, c))).otherwise(F.concat(F.transform(upto("open"), lambda o: pair(F.least(c, o), F.greatest(c, o))), F.transform(upto("shut"), lambda o: pair(c, -1 - o))))
+        met = met.select("k", "rep", "f0", "f1", "n", "comp", "c", F.explode(groups).alias("g")).select("k", "g.lo", "g.hi", "c", "rep", "f0", "f1", "n", "comp")
+        met = met.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "rep")
+        got = met.mapInArrow(_partners(tables, most, similarity, every), "a long, b long, bits long, least long")
+        if every:
+            return got.select("a", "b")
+        got = got.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"), F.min("least").alias("least"))
+        return got.select("a", F.explode(F.array_distinct(F.array("b", "least"))).alias("b")).where("a <> b")
+
+    # A bucket's first row is its hub.
+    tabled = labels.mapInArrow(_tabled(tables), schema)
+    hubs = keep(tabled.groupBy("k").agg(F.count("*").alias("many"), F.min(F.struct("rep", "f0", "f1", "n")).alias("hub")).where("many > 1"))
     bits = F.bit_count(F.col("f0").bitwiseXOR(F.col("hub.f0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("hub.f1")))
-    near_hub = tabled.join(hubs, "k").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), bits.alias("bits")).where(f"a <> b AND bits <= {most}")
-    found = verified(near_hub.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b")))
-    flagged = keep(classes.join(found.select("a").distinct(), F.col("rep") == F.col("a"), "left").select("rep", "f0", "f1", F.col("a").isNotNull().alias("done")))
-    tabled = flagged.mapInArrow(_tabled(tables), schema)
-    full = keep(tabled.groupBy("k").agg(F.count_if(~F.col("done")).alias("open"), F.count_if("done").alias("shut")).where("open > 0 AND open + shut > 1"))
-    chunks = lambda c: F.ceil(F.col(c) / F.lit(CHUNK)).cast("long")
-    upto = lambda c: F.slice(F.sequence(F.lit(0).cast("long"), chunks(c)), F.lit(1), chunks(c).cast("int"))
-    pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
-    own = F.pmod(F.xxhash64("f0", "f1"), F.when(F.col("done"), chunks("shut")).otherwise(chunks("open")))
-    met = tabled.join(full, "k").withColumn("c", F.when(F.col("done"), -1 - own).otherwise(own))
-    c = F.col("c")
-    groups = F.when(F.col("done"), F.transform(upto("open"), lambda o: pair(o, c))).otherwise(F.concat(F.transform(upto("open"), lambda o: pair(F.least(c, o), F.greatest(c, o))), F.transform(upto("shut"), lambda o: pair(c, -1 - o))))
-    met = met.select("k", "rep", "f0", "f1", "c", F.explode(groups).alias("g")).select("k", "g.lo", "g.hi", "c", "rep", "f0", "f1")
-    met = met.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "rep")
-    partners = met.mapInArrow(_partners(most), "a long, b long, bits long, least long")
-    partners = partners.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"), F.min("least").alias("least"))
-    more = verified(partners.select("a", F.explode(F.array_distinct(F.array("b", "least"))).alias("b")).where("a <> b"))
-    joined = components(found.unionByName(more))
-    of = keep(classes.join(joined, F.col("rep") == F.col("node"), "left").select("f0", "f1", F.coalesce("component", "rep").alias("component_id")))
-    return prints.join(of, ["f0", "f1"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    near_hub = tabled.join(hubs, "k").where(F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n")).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), bits.alias("bits")).where(f"a <> b AND bits <= {most}")
+    labels = joined(labels, near_hub.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b")))
+    labels = joined(labels, partners(labels, every=False))
+    labels = joined(labels, partners(labels, every=True))
+    return prints.join(labels.select("h", "f0", "f1", F.col("comp").alias("component_id")), ["h", "f0", "f1"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def hex16(fp: Column) -> Column:

@@ -99,6 +99,27 @@ def test_similar_groups_in_chunks(spark):
     assert {r.component_id for r in got} == {0} and len(got) == 700
 
 
+def changed(words, places, tag):
+    out = list(words)
+    for p in places:
+        out[p] = f"{tag}{p}"
+    return out
+
+
+def test_similar_verifies_every_candidate(spark):
+    texts, want = [], []
+    for seed in range(8):
+        rng = random.Random(seed)
+        words = [f"g{seed}x{i}" for i in range(304)]
+        spots = rng.sample(range(5, 300, 6), 40)
+        at = len(texts)
+        texts += [" ".join(changed(words, rng.sample(spots, 10), f"n{k}x")) for k in range(12)]  # about 0.71 to the last one
+        texts += [" ".join(changed(words, rng.sample(spots, 6), "t")), " ".join(words)]  # 0.82
+        want += [*range(at, at + 12), at + 12, at + 12]
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+
+
 def brute_substring(rows, window=13):
     low, out = {}, {}
     split = [(d, (t or "").encode().split()) for d, t in rows]
