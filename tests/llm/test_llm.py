@@ -120,6 +120,13 @@ def test_similar_verifies_every_candidate(spark):
     assert got == dict(enumerate(want))
 
 
+def test_similar_keeps_forms_with_other_values(spark):
+    rng = random.Random(4)
+    texts = ["\n".join(f"sensor reading from the north station was {rng.randrange(10**9)}" for _ in range(n)) for n in (50, 50, 50, 200, 200, 400)]
+    kept = quality.filtered(docs(spark, texts), P.path("piece_bpe_32k.model"))
+    assert {r.doc_id: r.component_id for r in simhash.similar(kept).collect()} == {i: i for i in range(len(texts))}
+
+
 def brute_substring(rows, window=13):
     low, out = {}, {}
     split = [(d, (t or "").encode().split()) for d, t in rows]
