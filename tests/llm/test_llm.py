@@ -120,6 +120,18 @@ def test_similar_verifies_every_candidate(spark):
     assert got == dict(enumerate(want))
 
 
+def test_similar_joins_clusters_beyond_their_hubs(spark):
+    texts, ids = [], []
+    for seed in range(4):
+        words = [f"g{seed}x{i}" for i in range(304)]
+        spots = random.Random(seed).sample(range(5, 300, 6), 17)
+        a, b, c = spots[:6], spots[6:12], spots[12:]
+        texts += [" ".join(x) for x in (changed(words, a, "a"), changed(changed(words, b, "b"), c, "c"), words, changed(words, b, "b"))]  # 1~3, 3~4, 4~2 and no more
+        ids += [10 * seed + k for k in (1, 2, 3, 4)]
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs(spark, texts, ids)).collect()}
+    assert got == {i: i // 10 * 10 + 1 for i in ids}
+
+
 def test_similar_keeps_forms_with_other_values(spark):
     rng = random.Random(4)
     texts = ["\n".join(f"sensor reading from the north station was {rng.randrange(10**9)}" for _ in range(n)) for n in (50, 50, 50, 200, 200, 400)]
