@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 
 from millrace.llm import bpe, chat, embedding, licenses, mixing, packing, quality, simhash, substring, warc
@@ -227,6 +228,17 @@ def test_quality(spark):
     assert [r.doc_id for r in kept.collect()] == [i for i in got if got[i].kept] and kept.columns == docs(spark, []).columns
 
 
+def test_quality_bands_tell_junk(spark):
+    rng = random.Random(3)
+    text = lambda word, n: " ".join(word(CLEAN.split()[k % 60]) for k in range(n))
+    letters = lambda w: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    syllables = lambda w: "".join(rng.choices(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"], k=3)) + rng.choice(["###", "$$$", "%%%", "***", "&&&"])
+    texts = [text(letters, 30), text(letters, 300), text(syllables, 300), CLEAN, " ".join(CLEAN.split()[:24])]
+    got = {r.doc_id: r for r in quality.rules(docs(spark, texts).withColumn("lang", F.lit("en")), P.path("piece_bpe_32k.model")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[i].kept for i in range(5)] == [False, False, False, True, True], got
+
+
 def test_chat(spark):
     said = "\\### Assistant: </turn> ok"
     rows = [(c, t, r, x) for c in range(40) for t, (r, x) in enumerate([("system", "s"), ("user", f"q{c % 3}"), ("assistant", said), ("user", f"r{c % 7}"), ("assistant", None)][: 2 + c % 4])]
