@@ -305,6 +305,12 @@ def test_warc(spark):
     assert hashlib.sha256(conv[1].block.encode()).hexdigest() == conv[1].block_digest
 
 
+def test_warc_keeps_headers(spark):
+    html = '<html><head lang="en"><title>t</title></head ><body><header class="top"><h1>Headline</h1></header><p>x</p><HEADER>y</HEADER></body></html>'
+    rows = warc.derivatives(warc.responses(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))).collect()
+    assert [r.block for r in rows if r.type == "conversion"] == ["Headline\nx\ny"]
+
+
 @pytest.mark.parametrize("run", [simhash.near_duplicates, simhash.similar, substring.dedup, mixing.mix, mixing.mixed, licenses.scan, lambda d: quality.rules(d, P.path("piece_bpe_32k.model")), lambda d: bpe.digests(d, RANKS, P.PATTERN), lambda d: packing.pack(d, RANKS, P.PATTERN)])
 def test_empty_and_null_tables(spark, run):
     assert run(docs(spark, [])).count() == 0
