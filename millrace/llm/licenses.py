@@ -2,8 +2,8 @@
 
 An entire text is normalised (case, copyright lines, equivalent spellings, punctuation
 and white space) and its SHA-256 hash-joined to the digests of known licence texts, which
-go through the same expressions. The known texts are a few dozen rows of this module or
-of the caller, checked to be at most ``MOST_KNOWN`` before they are broadcast; beyond
+go through the same expressions. The known texts are a few dozen rows of this module and
+its folder ``texts``, or of the caller, checked to be at most ``MOST_KNOWN`` before they are broadcast; beyond
 that the join is left to the planner.
 
 Defined cases: a null or empty text has no licence, and neither has one that normalises
@@ -13,14 +13,18 @@ smaller name; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_KNOWN = 10_000
 
-#: (pattern, replacement) in order; RE2 and Java read them alike.
+#: (pattern, replacement) in order. The first takes lines that have the shape of a notice: copyright and a sign, year
+#: or holder, not a licence's own sentences that a line break leaves with "copyright" in front.
 STEPS = [
-    (r"(^|\n)[^\na-z0-9]*(copyright|\(c\)|©|all rights reserved)[^\n]*", "\n"),
+    (r"(^|\n)[^\na-z0-9_]*(copyright\b[^\na-z0-9(©\[<{]*(\(c\)|©|&copy;|[0-9]{4}|[\[<{])[^\n]*|\(c\)[^\n]*\b(19|20)[0-9]{2}\b[^\n]*|copyright[ \t][^\n]*\b(19|20)[0-9]{2}[ \t.]*(?=\n|$)|(\(c\)[ \t]*copyright|©)[^\n]*|copyright:[^\n]*|copyright[ \t]+[^\n.,;:]{1,60}(?=\n[ \t]*\n)|copyright[ \t]+[^\n]{1,60}\b(authors|contributors|developers|team|inc|ltd|llc|foundation|corporation|project)\.?[ \t]*(?=\n|$)|all rights reserved[^\na-z0-9]*(?=\n|$))", "\n"),
+    (r"\s+", " "),
     (r"https://", "http://"),
     (r"licence", "license"),
     (r"copyright[- ]?owner", "copyright holder"),
@@ -32,6 +36,13 @@ STEPS = [
     (r"[^a-z0-9]+", " "),
 ]
 
+#: The SQL's first step and texts are as given: it knows no others, takes any line that begins with "copyright", and
+#: keeps line breaks within a spelling.
+SQL_STEPS = [
+    (r"(^|\n)[^\na-z0-9]*(copyright|\(c\)|©|all rights reserved)[^\n]*", "\n"),
+    *STEPS[2:],
+]
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -69,6 +80,48 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
+SQL_KNOWN = list(KNOWN)
+
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>"""
+
+
+def whole() -> list[tuple[str, str]]:
+    """The texts of the folder, named by their files, each also up to the end of its terms where an appendix follows."""
+    out = []
+    for path in sorted((Path(__file__).parent / "texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        terms, end, more = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(path.stem, text)] + [(path.stem, terms), (path.stem, terms + end)] * bool(more.strip())
+    return out
+
+
+KNOWN += [
+    ("Zlib", _ZLIB), ("Zlib", "zlib License\n\n" + _ZLIB), ("Unlicense", _UNLICENSE),
+    ("BSL-1.0", _BOOST), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BOOST), *whole(),
+]
+
 
 def canonical(text: Column) -> Column:
     """The normalised text; null stays null."""
@@ -94,11 +147,11 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
     return rows.join(table, "digest", "left").select("doc_id", "canonical_chars", "digest", F.when(F.col("canonical_chars") > 0, F.col("license")).alias("license"))
 
 
-def scan_sql(texts: list[tuple[str, str]] = KNOWN) -> str:
+def scan_sql(texts: list[tuple[str, str]] = SQL_KNOWN) -> str:
     """The same in DuckDB's SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     form = "lower(text)"
-    for pattern, to in STEPS:
+    for pattern, to in SQL_STEPS:
         form = f"regexp_replace({form}, {quote(pattern)}, {quote(to.replace('$', chr(92)))}, 'g')"
     values = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in texts)
     return f"""

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import textwrap
 
 import numpy as np
 import public_tokenizers as P
@@ -262,6 +264,26 @@ def test_licenses(spark):
     assert got == ["MIT", None, None, None, None, "MIT"]
 
 
+def test_licenses_are_found_at_any_width(spark):
+    def rewrapped(text, width):
+        notice = re.compile(r"\W*copyright (\(c\)|\[|\d)|\W*all rights reserved\W*$", re.I)
+        parts, rest = [], []
+        for line in text.split("\n") + [""]:
+            if not line.strip() or notice.match(line):
+                parts += [textwrap.fill(" ".join(rest), width, break_on_hyphens=False, break_long_words=False)] + [line]
+                rest = []
+            else:
+                rest += line.split()
+        return "Copyright 2020 Some One <a@b.example>\n" + "\n".join(parts)
+
+    cases = [(n, rewrapped(t, w)) for n, t in licenses.KNOWN for w in (40, 55, 66, 72, 79, 100, 10**6)]
+    got = {r.doc_id: r.license for r in licenses.scan(docs(spark, [t for _, t in cases])).collect()}
+    assert [(i, n) for i, (n, _) in enumerate(cases) if got[i] != n] == []
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSL-1.0", "CC0-1.0", "Unlicense", "Zlib"} <= {n for n, t in licenses.KNOWN if len(t) > 500}
+    notices = ["Copyright (c) 2020 A", "copyright The Foo Authors", "(C) 1999 B", "  * Copyright: C", "\u00a9 D", "Copyright 2001-2003, E", "All rights reserved."]
+    assert {r.license for r in licenses.scan(docs(spark, [x + "\n" + licenses._MIT for x in notices])).collect()} == {"MIT"}
+
+
 def test_packing(spark):
     texts = corpus(20) + ["word " * 9000]
     c = bpe.codec(RANKS, P.PATTERN)
