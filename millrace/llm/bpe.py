@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from millrace.llm.common import tune
 
 MEMO_WORDS, MEMO_CHARS, MEMO_PAIRS = 250_000, 48, 1_000_000
-LONGEST = 256  # no token is longer
 _NONE, _STOPS = 1 << 40, frozenset(".,;:!?")
 
 
@@ -99,6 +98,7 @@ class Codec:
             machine.add_word(t.decode("latin-1"), i)
             self.shorter[i] = next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), None)
         self.machine = machine
+        self.most = max(map(len, ranks))
         for t, i in sorted(ranks.items(), key=lambda x: x[1]):
             self.parts[i] = (i, i)
             if len(t) > 1:
@@ -160,12 +160,12 @@ class Codec:
     def piece(self, chars: str) -> list[int]:
         """The ids of one match of the pattern, which must not be empty, as Latin-1."""
         n = len(chars)
-        length, shorter, seen = self.length, self.shorter, self.pairs_ok
+        length, shorter, seen, most = self.length, self.shorter, self.pairs_ok, self.most
         if len(seen) > MEMO_PAIRS:
             seen.clear()
         shut: set[int] = set()
         out, at, last = [], 0, -1
-        token = self.longest(chars[:LONGEST])
+        token = self.longest(chars[:most])
         while True:
             end = at + length[token]
             if end not in shut:
@@ -177,7 +177,7 @@ class Codec:
                     if end == n:
                         return out
                     at, last = end, token
-                    token = self.longest(chars[at : at + LONGEST])
+                    token = self.longest(chars[at : at + most])
                     continue
             token = shorter[token]
             while token is None:  # nothing fits here: never come back, and shorten the token before

@@ -198,6 +198,18 @@ def test_bpe_is_tiktokens(spark):
     assert all(bytes(rows[i].decoded).decode() == t for i, t in enumerate(texts)) and rows[len(texts)].ids == []
 
 
+def test_bpe_takes_tokens_of_any_length(tmp_path):
+    import base64
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"a" * 2**k: 255 + k for k in range(1, 11)}
+    path = tmp_path / "long.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + f" {i}\n".encode() for t, i in ranks.items()))
+    c = bpe.codec(str(path), P.PATTERN)
+    same = tiktoken.Encoding("long", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for n in (255, 257, 600, 1500, 2100):
+        assert c.encode("a" * n) == same.encode_ordinary("a" * n)
+
+
 def test_mixing(spark):
     rng = random.Random(5)
     texts = [" ".join(["w"] * rng.randint(0, 40)) or None for _ in range(800)]
