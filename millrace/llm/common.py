@@ -7,12 +7,15 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +36,13 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; a temp folder only where that is unset."""
+    """This application's folder below spark.checkpoint.dir; where that is unset, a temp folder, which only a local master may have."""
     app = spark.sparkContext.applicationId
     if app not in _own:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if base is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="millrace-")
         _own[app] = path = f"{base.rstrip('/')}/millrace-{app}"
         atexit.register(_remove, spark, path)
@@ -57,40 +62,50 @@ def keep(df: DataFrame, parts: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     (df.coalesce(parts) if parts else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
 
 
-def steady_memory() -> None:
-    """Lets this worker keep freed memory for its next arrays instead of giving it back page by page."""
-    global _steady
-    if not _steady:
-        _steady = True
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "mallopt"):  # glibc: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
-            libc.mallopt(-3, 64 << 20)
-            libc.mallopt(-1, 128 << 20)
+def drop(*kept: DataFrame) -> None:
+    """Deletes tables of ``keep`` that nothing reads any more."""
+    for df in kept:
+        _remove(df.sparkSession, df._millrace_path)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underlines before those that a table has already (in any case)."""
+    have = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        out.append(n)
+        have.add(n.lower())
+    return out
 
 
-_steady = False
+_tenant: list = [None, lambda: None]
+
+
+def sole(name: str, release: Callable[[], None]) -> None:
+    """Says which operator uses this worker now. Workers go on from stage to stage: what another one memoised goes first."""
+    if _tenant[0] != name:
+        _tenant[1]()
+        _tenant[:] = name, release
+        gc.collect()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
 
 # ---------------------------------------------------------------- words as arrays
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_ODD, _INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(which: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(which)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= 1 << 22:
-            _powers[which] = have
-    return have[:n]
+_KEYS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (4, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,7 +121,6 @@ class Scan:
     def __init__(self, texts: pa.Array):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        steady_memory()
         texts = texts.cast(pa.large_string()).fill_null("")
         off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         body = texts.buffers()[2] if len(texts) else None
@@ -125,10 +139,24 @@ class Scan:
         self.n_words = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.n_words)), self.n_words)
 
-    def hashes(self) -> np.ndarray:
-        sums = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum(_BYTE[self.bytes] * _power("up", _ODD, len(self.bytes)), out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * _power("down", _INV, len(self.bytes) + 1)[self.starts])
+    def hashes(self, key: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; keys 0 to 3 give independent ones. Eight bytes a step, chained through a bijective mixer."""
+        first, second = _KEYS[key]
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        padded = np.concatenate([self.bytes, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(self.bytes) + 1,), "<u8", padded.data, strides=(1,))
+        size = self.ends - self.starts
+        out = mix((eight[self.starts] & _LOW[np.minimum(size, 8)]) ^ first) + size.astype(np.uint64) * second
+        at, step = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+        while len(at):
+            part = eight[self.starts[at] + step] & _LOW[np.minimum(size[at] - step, 8)]
+            out[at] = mix(out[at]) * second + mix(part ^ first)
+            step += 8
+            at = at[size[at] > step]
+        for i in np.flatnonzero(size > LONG_WORD):
+            out[i] = xxhash.xxh3_64_intdigest(self.bytes[self.starts[i] : self.ends[i]].tobytes(), int(first))
+        return mix(out)
 
 
 def grams(words: np.ndarray, k: int, salt: int = 0x2545F4914F6CDD1D) -> np.ndarray:
@@ -204,12 +232,14 @@ def components(edges: DataFrame) -> DataFrame:
     )
     mark = _mark(now)
     while mark[0]:
+        before = now
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = keep(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = keep(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        least = keep(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = keep(small.distinct())
+        drop(before, low, large, least)
         was, mark = mark, _mark(now)
         if was == mark:
             break

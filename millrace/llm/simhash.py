@@ -12,17 +12,15 @@ given blocks (about 32 bits) meet. Equal fingerprints are one class beforehand.
 crowded bucket is dealt to pairs of chunks, each a group of its own, and a group gives
 a spanning forest of its links, never all of them.
 
-``similar`` is the same for a similarity instead of a number of bits (five words and a
-Jaccard similarity of 0.8 unless told otherwise). Such texts differ by many bits, so it
-takes 128-bit fingerprints, lets them meet in tables that each compare about log2(classes)
-sampled bits, as many tables as find 95 % of the pairs at the least similarity and more
-of those above it, and verifies pairs on the whole sets of shingles. That is done thrice:
-each document with the nearest first one of its buckets; then with its nearest and its
-smallest earlier partner; then every pair left that meets within the bits. Only pairs that
-verified links already put in one component are left out, which changes no component but
-keeps a large group of near copies from being a square. Texts are one class beforehand
-where their whole sets of shingles agree. At that many bits pivots discard next to
-nothing, so the distance is taken at once.
+``similar`` is for a similarity instead of a number of bits (five words and a Jaccard
+similarity of 0.8 unless told otherwise). Such texts differ by so many bits (19 of 128 at
+0.8) that neither blocks of bits nor references chosen without regard to the texts tell
+them from others. So texts meet where the least hashes of their shingles agree (12 bands of
+4: 99.8 % of pairs at 0.8 exactly, more above it); a group's references are fingerprints of
+its own texts, which do discard pairs; and survivors are verified on the whole sets of
+shingles, in the group. Texts with one set are one class beforehand. A crowded bucket goes
+in chunks: first each by itself, then one text of each component found, then whatever texts
+are still in different components, so that a large group of near copies is no square.
 
 Defined cases: null or wordless text has fingerprint 0 and links like any other; equal
 fingerprints link; repeated doc_ids stay repeated rows; a null doc_id stands in no
@@ -42,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scan, components, grams, keep, mix, pieces, roots, runs, tune
+from millrace.llm.common import Scan, components, grams, keep, mix, pieces, roots, runs, sole, tune
 
 PIVOTS = np.random.Generator(np.random.PCG64(64)).integers(0, 1 << 64, 24, dtype=np.uint64)
 CHUNK = 256
@@ -72,6 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def each(batches):
+        sole("simhash", lambda: None)
         for b in batches:
             got = np.array([fingerprint(t, shingle) for t in b["text"].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(got.view(np.int64))], names=["doc_id", "fp"])
@@ -163,7 +162,9 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFra
 # ---------------------------------------------------------------- by similarity
 
 LANES = (np.uint64(0x8F1BBCDCBFA53E0B), np.uint64(0x3C6EF372FE94F82B))
-WIDE, RECALL, VOTES = 64 * len(LANES), 0.95, 1 << 16
+WIDE, VOTES = 64 * len(LANES), 1 << 16
+BANDS, ROWS, REFERENCES = 12, 4, 8
+_SALTS = np.random.Generator(np.random.PCG64(128)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,18 +183,22 @@ def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return g, doc
 
 
-def wide(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A row of majority bits of each text's set of shingles, a column a lane; a hash of the set; its size. Wordless texts have zeros."""
+def distinct_shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same, each once a text, sorted by text and hash."""
     g, doc = shingles(texts, k)
     order = np.lexsort((g, doc))
     g, doc = g[order], doc[order]
     once = np.ones(len(g), bool)
     once[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-    g, doc = g[once], doc[once]
-    out = np.zeros((len(texts), len(LANES)), np.uint64)
-    count = np.bincount(doc, minlength=len(texts))
+    return g[once], doc[once]
+
+
+def wide(g: np.ndarray, doc: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of majority bits of each text's set of shingles, a column a lane; a hash of the set; its size. Wordless texts have zeros."""
+    out = np.zeros((texts, len(LANES)), np.uint64)
+    count = np.bincount(doc, minlength=texts)
     for lane, salt in enumerate(LANES):
-        votes = np.zeros((len(texts), 64), np.int64)
+        votes = np.zeros((texts, 64), np.int64)
         for a in range(0, len(g), VOTES):
             d = doc[a : a + VOTES]
             heads = np.flatnonzero(np.diff(d, prepend=-1))
@@ -205,172 +210,187 @@ def wide(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, sums[ends] - sums[ends - count], count
 
 
-def plan(n: int, similarity: float) -> tuple[np.ndarray, int]:
-    """Bit masks of the tables for n fingerprints, a row each, and the most bits by which partners may differ."""
+def bands(g: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    """A row a text: BANDS keys, each of the least values of its set under ROWS hash functions. Texts without shingles have zeros."""
+    out = np.zeros((texts, BANDS), np.uint64)
+    if len(g):
+        heads = np.flatnonzero(np.diff(doc, prepend=-1))
+        least = np.zeros((len(heads), ROWS), np.uint64)
+        for band in range(BANDS):
+            for row in range(ROWS):
+                x = (g ^ (g >> np.uint64(29))) * _SALTS[band * ROWS + row]
+                least[:, row] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), heads)
+            key = np.full(len(heads), band, np.uint64)
+            for row in range(ROWS):
+                key = mix(key + least[:, row])
+            out[doc[heads], band] = key
+    return out
+
+
+def most_bits(similarity: float) -> int:
+    """By how many bits of WIDE two sets of this similarity may differ: expected, and four deviations more."""
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    size = min(WIDE // 2, max(12, math.ceil(math.log2(max(2, n)))))
-    tables = math.ceil(math.log(1 - RECALL) / math.log1p(-((1 - apart) ** size)))
-    rng = np.random.Generator(np.random.PCG64(128))
-    flags = np.zeros((tables, WIDE), np.uint8)
-    for row in flags:
-        row[rng.choice(WIDE, size, replace=False)] = 1
-    return np.packbits(flags, axis=1).view(np.uint64), math.ceil(WIDE * apart + 3 * math.sqrt(WIDE * apart * (1 - apart)))
+    return math.ceil(WIDE * apart + 4 * math.sqrt(WIDE * apart * (1 - apart)))
 
 
-def _key(f0: np.ndarray, f1: np.ndarray, t: int, table: np.ndarray) -> np.ndarray:
-    return mix((f0 & table[0]) ^ mix((f1 & table[1]) + np.uint64(t)))
+def linked(f: np.ndarray, sets: list[np.ndarray], label: np.ndarray, apart: np.ndarray | None, similarity: float) -> np.ndarray:
+    """For each row of a group the smallest row that links of at least ``similarity`` or equal labels connect it to.
 
-
-def _tabled(tables: np.ndarray):
-    def each(batches):
-        for b in batches:
-            f0, f1 = (b[c].to_numpy().view(np.uint64) for c in ("f0", "f1"))
-            rest = ["rep", "f0", "f1", "n", "comp"]
-            for t, table in enumerate(tables):
-                k = _key(f0, f1, t, table)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *(b[c] for c in rest)], names=["k", *rest])
-
-    return each
-
-
-def _partners(tables: np.ndarray, most: int, similarity: float, every: bool):
-    """(a, b, bits, least): of each row its nearest earlier partner of another component in its group, and its first one.
-
-    ``every``: all its earlier partners instead, each in the first table where the two meet; least is b.
+    f: fingerprints, a row each; sets: sorted shingles; ``apart``: only rows that differ in it are compared. Distances
+    to a few of the group's fingerprints (the pivots) discard pairs whose coordinates differ by more than the bits
+    allowed; the exact distance and the sizes discard more; the whole sets decide. Rows already connected are skipped.
     """
+    n, most = len(sets), most_bits(similarity)
+    size = np.array([len(x) for x in sets])
+    if n == 2:
+        same = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([0, int(same < similarity * (size.sum() - same))])
+    pivots = f[np.unique(np.linspace(0, n - 1, min(n, REFERENCES)).astype(int))]
+    distance = lambda x, y: sum(np.bitwise_count(x[:, lane] ^ y[lane]).astype(np.int16) for lane in range(f.shape[1]))
+    table = np.stack([distance(f, p) for p in pivots], 1)
+    own, at = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    starts, flag = ends - size, np.zeros(len(own), bool)
+    _, first, label = np.unique(label, return_index=True, return_inverse=True)
+    top = first[label]  # rows of one component have the same top
+    for i in range(1, n):
+        j = np.flatnonzero((top[:i] != top[i]) & (np.abs(table[:i] - table[i]).max(1) <= most))
+        if apart is not None:
+            j = j[apart[j] != apart[i]]
+        j = j[(np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i])) & (distance(f[j], f[i]) <= most)]
+        if not len(j):
+            continue
+        mine = at[starts[i] : ends[i]]
+        flag[mine] = True
+        spans = np.concatenate([at[starts[x] : ends[x]] for x in j])
+        same = np.add.reduceat(flag[spans], np.cumsum(size[j]) - size[j], dtype=np.int64)
+        flag[mine] = False
+        good = np.unique(top[j[same >= similarity * (size[j] + size[i] - same)]])
+        if len(good):
+            joined = np.append(good, top[i])
+            top[np.isin(top, joined)] = joined.min()
+    return top
+
+
+def _forest_of(keys: list[str], similarity: float):
+    """(a, b) by group: links of a spanning forest, between labels."""
 
     def each(batches):
-        for table in runs(batches, ["k", "lo", "hi"]):
-            col = lambda c: table[c].to_numpy()
-            k, rep, f0, f1, chunk, n = col("k"), col("rep"), col("f0").view(np.uint64), col("f1").view(np.uint64), col("c"), table.num_rows
-            size, comp = col("n"), col("comp")
+        sole("simhash", lambda: None)
+        for table in runs(batches, keys):
+            table = table.combine_chunks()
+            n = table.num_rows
+            col = {c: table[c].to_numpy() for c in [*keys, "comp", "c", "f0", "f1"]}
             edge = np.ones(n, bool)
-            edge[1:] = (k[1:] != k[:-1]) | (col("lo")[1:] != col("lo")[:-1]) | (col("hi")[1:] != col("hi")[:-1])
-            last = np.append(np.flatnonzero(edge)[1:], n)[np.cumsum(edge) - 1]
-            across = col("lo") != col("hi")
-            best, first, found = np.full(n, 1 << 62), np.full(n, n), []
-            i, off = np.arange(n), 1
-            while len(i := i[i + off < last[i]]):
-                a = i[(~across[i] | (chunk[i] != chunk[i + off])) & (comp[i] != comp[i + off])]
-                bits = np.bitwise_count(f0[a] ^ f0[a + off]).astype(np.int64) + np.bitwise_count(f1[a] ^ f1[a + off])
-                near_ = (bits <= most) & (np.minimum(size[a], size[a + off]) >= similarity * np.maximum(size[a], size[a + off]))
-                a, bits = a[near_], bits[near_]
-                if every:
-                    found.append((a, a + off, bits))
-                else:
-                    best[a + off] = np.minimum(best[a + off], (bits << 40) + a)
-                    first[a + off] = np.minimum(first[a + off], a)
-                off += 1
-            if every:
-                a, b, bits = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
-                here, open_ = np.zeros(len(a), bool), np.arange(len(a))
-                for t, m in enumerate(tables):
-                    x, y = a[open_], b[open_]
-                    meet = (((f0[x] ^ f0[y]) & m[0]) | ((f1[x] ^ f1[y]) & m[1])) == 0
-                    at = open_[meet]
-                    here[at] = _key(f0[a[at]], f1[a[at]], t, m).view(np.int64) == k[a[at]]
-                    open_ = open_[~meet]
-                out = rep[b[here]], rep[a[here]], bits[here], rep[a[here]]
-            else:
-                at = np.flatnonzero(first < n)
-                out = rep[at], rep[best[at] & ((1 << 40) - 1)], best[at] >> 40, rep[first[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b", "bits", "least"])
-
-    return each
-
-
-def _sets(k: int):
-    def each(batches):
-        for batch in batches:
-            for b in pieces(batch, "text"):
-                g, doc = shingles(b["text"], k)
-                g = (g >> np.uint64(32)).astype(np.uint32)
-                cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([np.unique(g[x:y]).tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "s"])
+            edge[1:] = False
+            for k in keys:
+                edge[1:] |= col[k][1:] != col[k][:-1]
+            heads = np.append(np.flatnonzero(edge), n)
+            f = np.stack([col["f0"], col["f1"]], 1).view(np.uint64)
+            raw, out = table["s"], []
+            for x, y in zip(heads, heads[1:]):
+                comp = col["comp"][x:y]
+                if y - x < 2 or (comp == comp[0]).all():
+                    continue
+                across = col["lo"][x] != col["hi"][x]
+                sets = [np.frombuffer(b.as_buffer(), np.uint32) for b in raw.slice(x, y - x)]
+                top = linked(f[x:y], sets, comp, col["c"][x:y] if across else None, similarity)
+                ends = np.stack([comp, comp[top]], 1)
+                out.append(np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0))
+            if out:
+                a, b = np.concatenate(out).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return each
 
 
-def _verified(similarity: float):
-    def each(batches):
-        for b in batches:
-            good = []
-            for x, y in zip(b["s"].to_pylist(), b["other"].to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = np.sort(np.concatenate([x, y]))
-                same = int((both[1:] == both[:-1]).sum())
-                good.append(same >= similarity * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return each
-
-
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, component_id) of every document with an id: the smallest doc_id that links of at least this similarity reach.
 
     Rows of one doc_id are one document, which any of its texts links. Texts with one set
     of shingles are one class, named by its smallest doc_id. A row without an id
     is in no group and not returned.
     """
-    tune(docs.sparkSession)
+    spark = tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    keys = [f"k{i}" for i in range(BANDS)]
+    longs = ["h", "f0", "f1", "n", *keys]
 
     def each(batches):
+        sole("simhash", lambda: None)
         for batch in batches:
             for b in pieces(batch, "text"):
-                bits, whole, size = wide(b["text"], shingle)
-                cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (whole, bits[:, 0], bits[:, 1], size)]
-                yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], names=["doc_id", "h", "f0", "f1", "n"])
-
-    prints = keep(rows.mapInArrow(each, "doc_id long, h long, f0 long, f1 long, n long"))
-    labels = keep(prints.groupBy("h", "f0", "f1").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")).withColumn("comp", F.col("rep")))
-    tables, most = plan(labels.count(), similarity)
-    schema = "k long, rep long, f0 long, f1 long, n long, comp long"
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        edges = keep(pairs)
-        ends = keep(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
-        sets = keep(rows.join(ends, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets(shingle), "doc_id long, s binary"))
-        both = edges.join(sets.select(F.col("doc_id").alias("a"), "s"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("other")), "b")
-        return keep(both.mapInArrow(_verified(similarity), "a long, b long"))
-
-    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The labels after the pairs' verified links."""
-        of = labels.select("rep", "comp").distinct()
-        edges = verified(pairs).join(of.select(F.col("rep").alias("a"), F.col("comp").alias("x")), "a").join(of.select(F.col("rep").alias("b"), F.col("comp").alias("y")), "b")
-        tops = keep(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-        return keep(labels.join(tops, F.col("comp") == F.col("node"), "left").select("h", "f0", "f1", "rep", "n", F.coalesce("component", "comp").alias("comp")))
-
-    def partners(labels: DataFrame, every: bool) -> DataFrame:
-        tabled = labels.mapInArrow(_tabled(tables), schema)
-        full = tabled.groupBy("k", "comp").agg(F.count("*").alias("m")).groupBy("k").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
-        full = keep(full.where("all > top.m").select("k", F.col("top.comp").alias("largest"), F.col("top.m").alias("shut"), (F.col("all") - F.col("top.m")).alias("open")))
-        # Rows of the bucket's largest component need not meet each other.
-        done = F.col("comp") == F.col("largest")
-        chunks = lambda c: F.ceil(F.col(c) / F.lit(CHUNK)).cast("long")
-        upto = lambda c: F.slice(F.sequence(F.lit(0).cast("long"), chunks(c)), F.lit(1), chunks(c).cast("int"))
-        pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
-        own = F.pmod(F.xxhash64("rep"), F.when(done, chunks("shut")).otherwise(chunks("open")))
-        met = tabled.join(full, "k").withColumn("c", F.when(done, -1 - own).otherwise(own))
-        c = F.col("c")
-        groups = F.when(done, F.transform(upto("open"), lambda o: pair(o, c))).otherwise(F.concat(F.transform(upto("open"), lambda o: pair(F.least(c, o), F.greatest(c, o))), F.transform(upto("shut"), lambda o: pair(c, -1 - o))))
-        met = met.select("k", "rep", "f0", "f1", "n", "comp", "c", F.explode(groups).alias("g")).select("k", "g.lo", "g.hi", "c", "rep", "f0", "f1", "n", "comp")
-        met = met.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "rep")
-        got = met.mapInArrow(_partners(tables, most, similarity, every), "a long, b long, bits long, least long")
-        if every:
-            return got.select("a", "b")
-        got = got.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"), F.min("least").alias("least"))
-        return got.select("a", F.explode(F.array_distinct(F.array("b", "least"))).alias("b")).where("a <> b")
-
-    # A bucket's first row is its hub.
-    tabled = labels.mapInArrow(_tabled(tables), schema)
-    hubs = keep(tabled.groupBy("k").agg(F.count("*").alias("many"), F.min(F.struct("rep", "f0", "f1", "n")).alias("hub")).where("many > 1"))
-    bits = F.bit_count(F.col("f0").bitwiseXOR(F.col("hub.f0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("hub.f1")))
-    near_hub = tabled.join(hubs, "k").where(F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n")).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), bits.alias("bits")).where(f"a <> b AND bits <= {most}")
-    labels = joined(labels, near_hub.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b")))
-    labels = joined(labels, partners(labels, every=False))
-    labels = joined(labels, partners(labels, every=True))
-    return prints.join(labels.select("h", "f0", "f1", F.col("comp").alias("component_id")), ["h", "f0", "f1"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+                g, doc = distinct_shingles(b["text"], shingle)
+                bits, whole, size = wide(g, doc, b.num_rows)
+                near = bands(g, doc, b.num_rows)
+                cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (whole, bits[:, 0], bits[:, 1], size, *near.T)]
+                short = (g >> np.uint64(32)).astype(np.uint32)  # still sorted within a text
+                ends = 4 * np.concatenate(([0], np.cumsum(size)))
+                sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(short)])
+                yield pa.RecordBatch.from_arrays([b["doc_id"], *cols, sets.cast(pa.binary())], names=["doc_id", *longs, "s"])
+
+    prints = rows.mapInArrow(each, f"doc_id long, {', '.join(c + ' long' for c in longs)}, s binary")
+    prints = keep(prints.withColumn("rid", F.monotonically_increasing_id()))
+    classes = prints.groupBy("h", "f0", "f1").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), *[F.min(c).alias(c) for c in ["n", *keys]])
+    classes = keep(classes)
+    met = classes.where("n > 0").select("rid", "rep", "f0", "f1", "n", F.explode(F.array(*keys)).alias("k"))
+    full = met.groupBy("k").agg(F.count("*").alias("rows"), F.sum("n").alias("size")).where("rows > 1")
+    # A chunk has at most about ``chunk`` rows, or as many shingles as that many texts of 4,096.
+    chunks = F.ceil(F.greatest(F.col("rows") / F.lit(chunk), F.col("size") / F.lit(4096 * chunk))).cast("long")
+    full = keep(full.select("k", chunks.alias("chunks")))
+    met = met.join(full, "k").withColumn("c", F.pmod(F.xxhash64("rid"), F.col("chunks")))
+    met = keep(met.join(prints.select("rid", "s"), "rid").select("k", "chunks", "c", "rid", "rep", "f0", "f1", "s"))
+    group = ["k", "lo", "hi"]
+    shape = "a long, b long"
+
+    def forest(groups: DataFrame) -> DataFrame:
+        """Links of rows (k, lo, hi, c, comp, f0, f1, s)."""
+        dealt = groups.repartition(*group).sortWithinPartitions(*group)
+        return keep(dealt.mapInArrow(_forest_of(group, similarity), shape))
+
+    edges = forest(met.select("k", F.col("c").alias("lo"), F.col("c").alias("hi"), "c", F.col("rep").alias("comp"), "f0", "f1", "s"))
+    comps = keep(components(edges))
+    if full.where("chunks > 1").limit(1).count():
+        crowded = met.where("chunks > 1")
+        for everyone in (False, True):
+            labelled = crowded.join(comps, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+            more = forest(_across(labelled, chunk) if everyone else _heads(labelled, chunk))
+            edges = keep(edges.unionByName(more))
+            comps = keep(components(edges))
+    of = classes.join(comps, F.col("rep") == F.col("node"), "left").select("h", "f0", "f1", F.coalesce("component", "rep").alias("component_id"))
+    return prints.select("doc_id", "h", "f0", "f1").join(of, ["h", "f0", "f1"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def _pairs(chunks: Column, own: Column) -> Column:
+    """An array of (lo, hi): the groups in which a row of chunk ``own`` meets each chunk of its bucket."""
+    one = lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi"))
+    return F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), one)
+
+
+def _heads(rows: DataFrame, chunk: int) -> DataFrame:
+    """One row of each component of a bucket; those of a bucket meet."""
+    first = rows.groupBy("k", "comp").agg(F.min("rid").alias("rid"))
+    many = first.groupBy("k").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("long").alias("many"))
+    first = first.join(many, "k").withColumn("c", F.pmod(F.xxhash64("rid"), F.col("many")))
+    groups = first.select("k", "rid", "c", F.explode(_pairs(F.col("many"), F.col("c"))).alias("g")).select("k", "rid", "c", "g.lo", "g.hi")
+    return groups.join(rows.select("k", "rid", "comp", "f0", "f1", "s"), ["k", "rid"])
+
+
+def _across(rows: DataFrame, chunk: int) -> DataFrame:
+    """All rows of buckets with several components; those of the largest one need not meet each other."""
+    sizes = rows.groupBy("k", "comp").agg(F.count("*").alias("m"))
+    top = sizes.groupBy("k").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).where("all > top.m")
+    parts = lambda c: F.ceil(c / F.lit(chunk)).cast("long")
+    top = keep(top.select("k", F.col("top.comp").alias("largest"), parts(F.col("top.m")).alias("shut"), parts(F.col("all") - F.col("top.m")).alias("open")))
+    met = rows.join(top, "k").withColumn("done", F.col("comp") == F.col("largest"))
+    own = F.pmod(F.xxhash64("rid"), F.when(F.col("done"), F.col("shut")).otherwise(F.col("open")))
+    met = met.withColumn("c", F.when(F.col("done"), -1 - own).otherwise(own))
+    # Chunks of the largest component are numbered from -1 down, those of the other rows from 0 up.
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    pair = lambda x, y: F.struct(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi"))
+    others = F.transform(upto(F.col("open")), lambda o: pair(F.col("c"), o))
+    groups = F.when(F.col("done"), others).otherwise(F.concat(others, F.transform(upto(F.col("shut")), lambda o: pair(-1 - o, F.col("c")))))
+    return met.select("k", "c", "comp", "f0", "f1", "s", F.explode(groups).alias("g")).select("k", "g.lo", "g.hi", "c", "comp", "f0", "f1", "s")
 
 
 def hex16(fp: Column) -> Column:
