@@ -28,10 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import tune
+from millrace.llm.common import sole, tune
 
-MEMO_WORDS, MEMO_CHARS, MEMO_PAIRS = 250_000, 48, 1_000_000
+MEMO_WORDS, MEMO_CHARS, MEMO_PAIRS = 250_000, 48, 500_000
 _NONE, _STOPS = 1 << 40, frozenset(".,;:!?")
+#: Fixed value: the pattern under which a match holds a space only at its beginning or in a run of white space, and takes a whole run of letters.
+CUT_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,7 +51,7 @@ class _Halves(dict):
         self.codec = codec
 
     def __missing__(self, chars: str):
-        got = self.codec.joined(chars)
+        got = self.codec.merged(chars)
         if len(self) >= MEMO_WORDS:
             self.clear()
         self[chars] = got
@@ -57,19 +59,15 @@ class _Halves(dict):
 
 
 class _Memo(dict):
-    """Of a word after a space: its ids, their decimal form, and the bytes that they decode to.
+    """What ``make`` gives of the ids of a word after a space. When it is full, the words of the last generation that come again are kept."""
 
-    When it is full, the words of the last generation that come again are kept.
-    """
-
-    def __init__(self, codec: Codec):
-        self.codec, self.old = codec, {}
+    def __init__(self, codec: Codec, make):
+        self.codec, self.make, self.old = codec, make, {}
 
     def __missing__(self, word: str):
         got = self.old.get(word)
         if got is None:
-            ids = self.codec.chunk(" " + word)
-            got = ids, " ".join(map(self.codec.name.__getitem__, ids)), b"".join(map(self.codec.token.__getitem__, ids))
+            got = self.make(self.codec.chunk(" " + word))
             if len(word) > MEMO_CHARS:
                 return got
         if len(self) >= MEMO_WORDS:
@@ -80,36 +78,43 @@ class _Memo(dict):
 
 
 class Codec:
-    """Encoder and decoder of one rank file."""
+    """Encoder and decoder of one rank file. Only under ``CUT_AT_SPACES`` are texts cut at spaces before the pattern sees them."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.split = regex.compile(pattern).findall
+        self.split, self.at_spaces = regex.compile(pattern).findall, pattern == CUT_AT_SPACES
         self.token = {i: t for t, i in ranks.items()}
         self.name = {i: str(i) for i in self.token}
         self.length = {i: len(t) for i, t in self.token.items()}
-        self.ranks, self.memo, self.pairs_ok = ranks, _Memo(self), {}
+        self.ranks, self.pairs_ok = ranks, {}
+        self.memo = _Memo(self, tuple)
+        self.told = _Memo(self, self._told)
         self.halves = _Halves(self)
         self.latin = {t.decode("latin-1"): i for t, i in ranks.items()}
         self.shorter: dict[int, int | None] = {}
+        self.made: dict[str, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.merge: dict[tuple[int, int], int] = {}
-        machine = ahocorasick.Automaton()
-        for t, i in ranks.items():
-            machine.add_word(t.decode("latin-1"), i)
-            self.shorter[i] = next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), None)
-        self.machine = machine
         self.most = max(map(len, ranks))
+        made = lambda i: self.length[i] == 1 or self.parts[i] != (i, i)
         for t, i in sorted(ranks.items(), key=lambda x: x[1]):
             self.parts[i] = (i, i)
             if len(t) > 1:
                 # The last merge that makes the token joins the two tokens into which lower ranks encode it.
                 for n in range(1, len(t)):
                     a, b = ranks.get(t[:n], _NONE), ranks.get(t[n:], _NONE)
-                    if a < i and b < i and (a, b) not in self.merge and self.beside(a, b):
+                    if a < i and b < i and (a, b) not in self.merge and made(a) and made(b) and self.beside(a, b):
                         self.parts[i] = (a, b)
                         self.merge[a, b] = i
                         break
         self.pairs_ok.clear()
+        machine = ahocorasick.Automaton()
+        for t, i in ranks.items():  # a token that no merges make stands for a whole piece only
+            if made(i):
+                machine.add_word(t.decode("latin-1"), i)
+                self.made[t.decode("latin-1")] = i
+        for chars, i in self.made.items():
+            self.shorter[i] = next((self.made[chars[:n]] for n in range(len(chars) - 1, 0, -1) if chars[:n] in self.made), None)
+        self.machine = machine
 
     def beside(self, a: int, b: int) -> bool:
         """Whether tokens a, b are the encoding of their joined bytes."""
@@ -132,7 +137,7 @@ class Codec:
 
     def longest(self, chars: str) -> int:
         """The longest token that the characters begin with: the trie says how far any key goes along."""
-        ranks, n = self.latin, self.machine.longest_prefix(chars)
+        ranks, n = self.made, self.machine.longest_prefix(chars)
         while True:
             got = ranks.get(chars[:n])
             if got is not None:
@@ -140,19 +145,24 @@ class Codec:
             n -= 1
 
     def joined(self, chars: str) -> list[int]:
-        """The ids of a piece as Latin-1: two memoised halves, if their tokens beside the cut are compatible."""
+        """The ids of a piece as Latin-1. A piece that is in the ranks is one token, whether or not merges make it."""
         whole = self.latin.get(chars)
-        if whole is not None and (len(chars) == 1 or self.parts[whole] != (whole, whole)):
+        return [whole] if whole is not None else self.merged(chars)
+
+    def merged(self, chars: str) -> list[int]:
+        """What merges make of the characters: two memoised halves, if their tokens beside the cut are compatible."""
+        whole = self.made.get(chars)
+        if whole is not None:
             return [whole]
         n = len(chars)
         if 7 < n <= MEMO_CHARS:
             halves, seen = self.halves, self.pairs_ok
             for cut in (n >> 1, (n >> 1) + 1, (n >> 1) - 1):
                 a, b = halves[chars[:cut]], halves[chars[cut:]]
-                pair = a[-1], b[0]
+                pair = a[-1] << 32 | b[0]
                 fits = seen.get(pair)
                 if fits is None:
-                    fits = seen[pair] = self.beside(*pair)
+                    fits = seen[pair] = self.beside(a[-1], b[0])
                 if fits:
                     return a + b
         return self.piece(chars)
@@ -169,9 +179,9 @@ class Codec:
         while True:
             end = at + length[token]
             if end not in shut:
-                fits = last < 0 or seen.get((last, token))
+                fits = last < 0 or seen.get(last << 32 | token)
                 if fits is None:
-                    fits = seen[last, token] = self.beside(last, token)
+                    fits = seen[last << 32 | token] = self.beside(last, token)
                 if fits:
                     out.append(token)
                     if end == n:
@@ -206,19 +216,24 @@ class Codec:
         return text.split(" ") if _GAP(text) is None else [w if k == 0 else w[1:] for k, w in enumerate(_CUT(text))]
 
     def encode(self, text: str) -> list[int]:
+        if not self.at_spaces:
+            return list(chain.from_iterable([self.joined(p.encode().decode("latin-1")) for p in self.split(text)]))
         head, *rest = self.words(text)
-        return self.chunk(head) + list(chain.from_iterable([x[0] for x in map(self.memo.__getitem__, rest)]))
+        return self.chunk(head) + list(chain.from_iterable(map(self.memo.__getitem__, rest)))
+
+    def _told(self, ids: list[int]) -> tuple[int, str, bytes]:
+        return len(ids), " ".join(map(self.name.__getitem__, ids)), self.decode(ids)
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, and the digests of the decimal ids and of the bytes that they decode to."""
+        if not self.at_spaces:
+            ids = self.encode(text)
+            return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
         head, *rest = self.words(text)
-        ids = self.chunk(head)
-        known = list(map(self.memo.__getitem__, rest))
-        n = len(ids) + sum([len(x[0]) for x in known])
-        names = [" ".join(map(str, ids))] if ids else []
-        names += [x[1] for x in known]
-        back = self.decode(ids) + b"".join([x[2] for x in known])
-        return n, hashlib.sha256(" ".join(names).encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+        known = [self._told(self.chunk(head)), *map(self.told.__getitem__, rest)]
+        names = " ".join([x[1] for x in known if x[0]])
+        back = b"".join([x[2] for x in known])
+        return sum([x[0] for x in known]), hashlib.sha256(names.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -228,7 +243,8 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """The codec of a rank file, built once a process."""
+    """The codec of a rank file, built once a process, until another operator takes the worker."""
+    sole("bpe", _codecs.clear)
     if (path, pattern) not in _codecs:
         gc.set_threshold(500_000, 50, 50)  # the memos hold no cycles, and walking them takes time
         _codecs[path, pattern] = Codec(read_ranks(path), pattern)
