@@ -3,31 +3,66 @@
 Every text's ids end with the end-of-text id. Texts longer than a row are split without
 loss into whole rows and a rest. Texts are packed a shard at a time (consecutive texts
 of one partition, about ``SHARD_TOKENS`` tokens), so nothing is shuffled and memory
-doesn't grow with the data. Pieces go, longest first, into the open row with the least
+doesn't grow with the data; the shards, and so which texts share a row, follow the
+layout of the input's files. Pieces go, longest first, into the open row with the least
 room that holds them; a segment tree over room left finds it. A row's unused places hold
 the padding id.
 
 A shard is one output row: ``ids`` (row-major little-endian matrix of uint16, or uint32
-for a larger vocabulary), and by segment in order its matrix row, doc_id, piece number
-and length; ``cu_seqlens`` are the cumulative lengths within each matrix row, and
-positions begin again at 0 with each of them (``positions``).
+where the vocabulary, the end or the padding id needs it), and by segment in order its
+matrix row, doc_id, piece number and length; ``cu_seqlens`` are the cumulative lengths
+within each matrix row, and ``resets`` the places of the flat matrix at which position
+ids begin again at 0: every segment's first, and a row's first padding. ``positions``
+makes the position ids of them.
 
 Defined cases: a null or empty text is the end-of-text id alone; a null doc_id stays
 null; repeated rows are packed repeatedly; other columns are ignored; an empty table
-gives an empty result. Ids come from the byte-level BPE of ``bpe``.
+gives an empty result. Ids are those of the rank file under the pattern, without special
+tokens, as the tiktoken library gives them; texts with a run of over ``LONG_RUN``
+characters without, or of, white space go to the linear codec of ``bpe``, which gives the same.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import codec
-from millrace.llm.common import tune
+from millrace.llm.bpe import Codec, read_ranks
+from millrace.llm.common import sole, tune
+
+SHARD_TOKENS, LONG_RUN = 1 << 20, 2000
+_LONG = re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}").search
+
+
+class Encoder:
+    """Ids of texts as arrays of the smallest kind that holds the vocabulary and these further ids."""
+
+    def __init__(self, path: str, pattern: str, *more: int):
+        ranks = read_ranks(path)
+        self.pattern, self.ranks, self.slow = pattern, ranks, None
+        self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.kind = np.dtype("<u2" if max(*ranks.values(), *more) < 1 << 16 else "<u4")
+
+    def __call__(self, text: str) -> np.ndarray:
+        if _LONG(text) is None:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        self.slow = self.slow or Codec(self.ranks, self.pattern)
+        return np.array(self.slow.encode(text), np.uint32)
+
+
+_encoders: dict[tuple, Encoder] = {}
+
 
-SHARD_TOKENS = 1 << 20
+def encoder(*key) -> Encoder:
+    sole("packing", _encoders.clear)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 class Rooms:
@@ -78,12 +113,11 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], int]:
     return where, n
 
 
-def positions(cu: np.ndarray, length: int) -> np.ndarray:
-    """Position ids of a row with these cumulative segment lengths; padding counts on by itself."""
-    starts = np.zeros(length, np.int64)
-    edges = cu[(cu > 0) & (cu < length)]
-    starts[edges] = edges
-    return np.arange(length) - np.maximum.accumulate(starts)
+def positions(resets: np.ndarray, size: int) -> np.ndarray:
+    """Position ids of a flat matrix of so many places that begin again at these."""
+    starts = np.zeros(size, np.int64)
+    starts[resets] = resets
+    return np.arange(size) - np.maximum.accumulate(starts)
 
 
 def _pack(shard: list[tuple[int | None, np.ndarray]], length: int, pad: int, kind) -> dict:
@@ -92,34 +126,35 @@ def _pack(shard: list[tuple[int | None, np.ndarray]], length: int, pad: int, kin
     matrix, filled = np.full((n, length), pad, kind), [0] * n
     segments: list[list] = [[] for _ in range(n)]
     for (doc, part, ids), row in zip(parts, where):
-        matrix[row, filled[row] : filled[row] + len(ids)] = ids
+        start = filled[row]
+        matrix[row, start : start + len(ids)] = ids
         filled[row] += len(ids)
-        segments[row].append((row, doc, part, len(ids), filled[row]))
+        segments[row].append((row, doc, part, len(ids), filled[row], row * length + start))
     flat = [s for row in segments for s in row]
-    rows, docs, numbers, lens, cu = (list(c) for c in zip(*flat))
-    return {"n_rows": n, "row_length": length, "ids": matrix.tobytes(), "seg_row": rows, "doc_id": docs, "part": numbers, "seg_length": lens, "cu_seqlens": cu}
+    rows, docs, numbers, lens, cu, resets = (list(c) for c in zip(*flat))
+    resets = sorted(resets + [row * length + used for row, used in enumerate(filled) if used < length])
+    return {"n_rows": n, "row_length": length, "ids": matrix.tobytes(), "seg_row": rows, "doc_id": docs, "part": numbers, "seg_length": lens, "cu_seqlens": cu, "resets": resets}
 
 
-_SCHEMA = "n_rows long, row_length long, ids binary, seg_row array<int>, doc_id array<long>, part array<int>, seg_length array<int>, cu_seqlens array<int>"
-_ARROW = pa.schema([("n_rows", pa.int64()), ("row_length", pa.int64()), ("ids", pa.binary()), ("seg_row", pa.list_(pa.int32())), ("doc_id", pa.list_(pa.int64())), ("part", pa.list_(pa.int32())), ("seg_length", pa.list_(pa.int32())), ("cu_seqlens", pa.list_(pa.int32()))])
+_SCHEMA = "n_rows long, row_length long, ids binary, seg_row array<int>, doc_id array<long>, part array<int>, seg_length array<int>, cu_seqlens array<int>, resets array<int>"
+_ARROW = pa.schema([("n_rows", pa.int64()), ("row_length", pa.int64()), ("ids", pa.binary()), ("seg_row", pa.list_(pa.int32())), ("doc_id", pa.list_(pa.int64())), *((c, pa.list_(pa.int32())) for c in ("part", "seg_length", "cu_seqlens", "resets"))])
 
 
 def pack(docs: DataFrame, path: str, pattern: str, length: int = 2048, end: int = 50256, pad: int = 50256) -> DataFrame:
     """One row a shard, as the module says."""
-    kind = np.dtype("<u2" if max(end, pad) < 1 << 16 else "<u4")
 
     def each(batches):
-        c, shard, n = codec(path, pattern), [], 0
+        ids_of, shard, n = encoder(path, pattern, end, pad), [], 0
         for b in batches:
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                ids = np.array(c.encode(text or "") + [end], kind)
+                ids = np.append(ids_of(text or ""), end).astype(ids_of.kind)
                 shard.append((doc_id, ids))
                 n += len(ids)
                 if n >= SHARD_TOKENS:
-                    yield pa.RecordBatch.from_pylist([_pack(shard, length, pad, kind)], _ARROW)
+                    yield pa.RecordBatch.from_pylist([_pack(shard, length, pad, ids_of.kind)], _ARROW)
                     shard, n = [], 0
         if shard:
-            yield pa.RecordBatch.from_pylist([_pack(shard, length, pad, kind)], _ARROW)
+            yield pa.RecordBatch.from_pylist([_pack(shard, length, pad, ids_of.kind)], _ARROW)
 
     tune(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, _SCHEMA)
