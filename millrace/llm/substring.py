@@ -8,10 +8,16 @@ the number of shards follows the corpus.
    windows have equal anchors; about a fifth of the windows' number is sent, each
    shard sends each once. Anchors seen in two shards, or in two documents of one,
    mark candidate windows; nothing else can recur.
-2. Confirming: candidates' 96-bit window hashes with the smallest doc_id of their shard
-   meet by hash range; each shard learns of smaller doc_ids elsewhere.
-3. Each shard compiles its recurring windows, each word a few characters, into an Aho-Corasick automaton and streams all its texts through it to find every
-   occurrence. A passage that thousands of texts share is one row a shard throughout.
+2. Confirming: candidates' 128-bit window hashes (two of 64 bits from independent hashes of
+   the words) with the smallest doc_id of their shard meet by hash range; each shard learns
+   of smaller doc_ids elsewhere.
+3. Each shard compiles its recurring windows, each word a few characters, into an Aho-Corasick
+   automaton and streams all its texts through it to find every occurrence. A passage that
+   thousands of texts share is one row a shard throughout.
+
+Hash ranges are as many as hold ``RANGE_BYTES`` of anchors, so a shard's row for a range
+grows with the corpus until it is full, and rows grow with the anchors, not with the square of
+the shards.
 
 Defined cases: null text has no words; a text shorter than a window loses nothing; rows
 that repeat a doc_id are the same document for "smaller"; a null doc_id is larger than
@@ -32,10 +38,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scan, grams, keep, tune
+from millrace.llm.common import Scan, drop, fresh, grams, keep, sole, tune
 
 WINDOW, GRAM = 13, 6
 SHARD_BYTES, LEAST_SHARDS = 2 << 20, 64
+RANGE_BYTES, ANCHOR_SHARE = 16 << 20, 0.3  # anchors are about this share of the texts' bytes
 BRANCHES = 192
 NULL_ID = np.int64((1 << 63) - 1)
 _ROWS = "to int, shard int, body binary"
@@ -44,6 +51,7 @@ _OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 def _windows(table: pa.Table, window: int):
     """Texts' words, the first word of every window, its 64-bit hash and its document's id."""
+    sole("substring", lambda: None)
     scan = Scan(table["text"])
     words = scan.hashes()
     at = np.arange(max(0, len(words) - window + 1))
@@ -111,16 +119,16 @@ def _empty(schema) -> pa.Table:
 
 
 _SCHEMA = [("to", pa.int32()), ("shard", pa.int32()), ("body", pa.binary())]
-_CANDIDATE = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8")])
+_CANDIDATE = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8")])
 
 
-def _send_anchors(shards: int, window: int, gram: int):
+def _send_anchors(ranges: int, window: int, gram: int):
     def each(table: pa.Table) -> pa.Table:
         _, words, at, _ = _windows(table, window)
         if not len(at):
             return _empty(_SCHEMA)
         unique = np.unique(_anchors(words, window, gram)[at])
-        return _dealt(unique, unique, shards, table["shard"][0].as_py())
+        return _dealt(unique, unique, ranges, table["shard"][0].as_py())
 
     return each
 
@@ -134,21 +142,22 @@ def _meet_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"to": pa.array([table["to"][0].as_py()] * len(got), pa.int32()), "shard": pa.array([s for s, _ in got], pa.int32()), "body": pa.array([p.tobytes() for _, p in got], pa.binary())})
 
 
-def _second(words: np.ndarray, window: int) -> np.ndarray:
-    return (grams(words, window, 0x9E6C63D0876A9A99) >> np.uint64(32)).astype(np.uint32)
+def _second(scan: Scan, window: int) -> np.ndarray:
+    """The other 64 bits of each window's hash."""
+    return grams(scan.hashes(1), window, 0x9E6C63D0876A9A99)
 
 
-def _send_candidates(shards: int, window: int, gram: int):
+def _send_candidates(ranges: int, window: int, gram: int):
     def each(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        _, words, at, ids = _windows(docs, window)
+        scan, words, at, ids = _windows(docs, window)
         if not len(at):
             return _empty(_SCHEMA)
         anchor = _anchors(words, window, gram)[at]
         told = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in shared["body"].to_pylist()] or [np.zeros(0, np.uint64)]))
         hit = _among(anchor, told) | _among(anchor, _several(anchor, ids))
         at, ids = at[hit], ids[hit]
-        rows = _lowest(grams(words, window)[at], _second(words, window)[at], ids)
-        return _dealt(rows["h"], rows, shards, docs["shard"][0].as_py())
+        rows = _lowest(grams(words, window)[at], _second(scan, window)[at], ids)
+        return _dealt(rows["h"], rows, ranges, docs["shard"][0].as_py())
 
     return each
 
@@ -217,21 +226,21 @@ def _locate(window: int):
     def each(docs: pa.Table, told: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         scan, words, at, ids = _windows(docs, window)
-        h, g = (grams(words, window)[at], _second(words, window)[at]) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        h, g = (grams(words, window)[at], _second(scan, window)[at]) if len(at) else (np.zeros(0, np.uint64),) * 2
         own, heads = _groups(h, g)
         h, g = h[own[heads]], g[own[heads]]
         low, high = (f.reduceat(ids[own], heads) for f in (np.minimum, np.maximum)) if len(at) else (ids, ids)
         there = np.concatenate([np.frombuffer(b, _CANDIDATE) for b in told["body"].to_pylist()] or [np.zeros(0, _CANDIDATE)])
         there = there[np.argsort(there["h"])]
         if len(there):
-            there_h = there["h"].copy()
+            there_h, there_g = there["h"].copy(), there["g"].copy()
             spot = np.searchsorted(there_h, h)
-            for _ in range(4):  # windows with the same 64 bits stand side by side
-                ok = spot < len(there)
-                fits = np.zeros(len(spot), bool)
-                fits[ok] = (there_h[spot[ok]] == h[ok]) & (there["g"][spot[ok]] == g[ok])
+            live = np.flatnonzero(spot < len(there))
+            while len(live := live[there_h[spot[live]] == h[live]]):  # windows with the same first 64 bits stand side by side
+                fits = live[there_g[spot[live]] == g[live]]
                 low[fits] = np.minimum(low[fits], there["doc"][spot[fits]])
-                spot = spot + 1
+                spot[live] += 1
+                live = live[spot[live] < len(there)]
         use = low < high
         first, value = at[own][heads[use]], low[use]
         hit = np.repeat(np.where(use, low, NULL_ID), np.diff(heads, append=len(own))) < ids[own]
@@ -290,13 +299,13 @@ def _digests(locate):
     return each
 
 
-def _rewrite(locate):
+def _rewrite(locate, shard: str):
     """The table with its texts as kept; texts that lose nothing stay as they were."""
 
     def each(docs: pa.Table, told: pa.Table) -> pa.Table:
-        got = locate(docs, told)
+        out = docs.drop_columns([shard])
+        got = locate(out.select(["doc_id", "text"]).append_column("shard", docs[shard]), told)
         text = pc.if_else(pc.greater(got["n_removed"], 0), got["kept"], docs["text"].combine_chunks())
-        out = docs.drop_columns(["shard"])
         out = out.set_column(out.column_names.index("text"), "text", text)
         return out.set_column(out.column_names.index("n_chars"), "n_chars", pc.utf8_length(text).cast(pa.int64())) if "n_chars" in out.column_names else out
 
@@ -304,23 +313,27 @@ def _rewrite(locate):
 
 
 def _located(docs: DataFrame, window: int, gram: int):
-    """The documents with their shards, and what each shard is told of others."""
+    """The documents with their shards (a further column, whose name is the second value), and what each shard is told of others."""
     tune(docs.sparkSession)
+    (name,) = fresh(docs.columns, "shard")
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
-    texts = docs.select("doc_id", "text", "shard")
-    anchors = texts.groupBy("shard").applyInArrow(_send_anchors(shards, window, gram), _ROWS)
+    ranges = max(LEAST_SHARDS, int(size * ANCHOR_SHARE) // RANGE_BYTES)
+    docs = docs.withColumn(name, F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
+    texts = docs.select("doc_id", "text", F.col(name).alias("shard"))
+    anchors = texts.groupBy("shard").applyInArrow(_send_anchors(ranges, window, gram), _ROWS)
     shared = keep(anchors.groupBy("to").applyInArrow(_meet_anchors, _ROWS))
-    candidates = texts.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send_candidates(shards, window, gram), _ROWS)
-    return docs, keep(candidates.groupBy("to").applyInArrow(_meet_candidates, _ROWS))
+    candidates = texts.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send_candidates(ranges, window, gram), _ROWS)
+    told = keep(candidates.groupBy("to").applyInArrow(_meet_candidates, _ROWS))
+    drop(shared)
+    return docs, name, told
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digests: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the kept words joined by one space, or kept_sha256 its digest."""
-    docs, told = _located(docs.select("doc_id", "text"), window, gram)
-    pairs = docs.groupBy("shard").cogroup(told.groupBy("shard"))
+    docs, shard, told = _located(docs.select("doc_id", "text"), window, gram)
+    pairs = docs.groupBy(shard).cogroup(told.groupBy("shard"))
     if digests:
         return pairs.applyInArrow(_digests(_locate(window)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return pairs.applyInArrow(_locate(window), _OUT)
@@ -329,6 +342,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digests: bool
 def rewritten(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The documents with all their columns, removed words gone; a column n_chars follows the text."""
     names = docs.columns
-    docs, told = _located(docs, window, gram)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.drop("shard").dtypes)
-    return docs.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_rewrite(_locate(window)), schema).select(*names)
+    docs, shard, told = _located(docs, window, gram)
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.drop(shard).dtypes)
+    return docs.groupBy(shard).cogroup(told.groupBy("shard")).applyInArrow(_rewrite(_locate(window), shard), schema).select(*names)
