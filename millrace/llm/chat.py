@@ -1,11 +1,13 @@
 """Chat formatting as a prefix tree.
 
-Conversations that begin with the same turns share those turns' tokens (characters of
-the formatted text). Distinct conversations are sorted by their path, the row of their
-turns' digests; that order is depth-first, so each emits only the turns beyond those it
-shares with the one before it. Every node has its place in one stream, the position id
-of its first token (the length of what is above it), its loss span and the merged stream
-intervals of its ancestors, which are what it may attend to besides itself.
+Conversations that begin with the same turns share those turns' tokens. Distinct
+conversations are sorted by their path, the row of their turns' digests; that order is
+depth-first, so each emits only the turns beyond those it shares with the one before it.
+Every node has the token ids of its turn (head, text and end each encoded by itself with
+the byte-level BPE of ``bpe``, so that the loss mask falls on token edges), its place in
+one stream of tokens, the position id of its first token (the number of tokens above it),
+its loss span and the merged stream intervals of its ancestors, which are what it may
+attend to besides itself. The same places are given in characters of the formatted text.
 
 The sorted rows are a checkpoint, whose partitions stay as they are; the driver sees one
 row a partition (the paths at its ends) to know where each partition's stream begins and
@@ -13,7 +15,7 @@ what its first conversation shares with the last of the partition before.
 
 A turn is ``### role:``, a line feed, the text, ``</turn>`` and a line feed. In texts a
 backslash goes before each backslash, ``###`` and ``</turn>``; in roles a backslash and a
-line feed are written ``\\\\\\\\`` and ``\\\\n``.
+line feed are written ``\\\\`` and ``\\n``.
 
 Defined cases: a null text or role is empty; turns are in order of (turn, role, text)
 with nulls first, so ties and repeated rows are turns too; a null conv_id is one
@@ -31,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.bpe import codec
 from millrace.llm.common import keep, scratch, tune
 
 END = "</turn>\n"
@@ -72,48 +75,75 @@ def _shared(a: bytes, b: bytes) -> int:
     return n // _DIGEST
 
 
-def _paths(batches):
-    for b in batches:
-        paths = [b"".join(hashlib.md5(f"{t['role'] or ''}\0{t['text'] or ''}".encode()).digest() for t in turns) for turns in b["turns"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["conv_id"], b["turns"], pa.array(paths, pa.binary())], names=["conv_id", "turns", "path"])
+def _turn_digest(role: str, text: str) -> bytes:
+    """Lengths go before what they measure, so that no two turns are written alike."""
+    r, t = role.encode(), text.encode()
+    return hashlib.md5(b"%d:%b%d:%b" % (len(r), r, len(t), t)).digest()
 
 
-def _lengths(turns) -> list[int]:
-    return [len(segment(t["role"] or "", t["text"] or "")[0]) for t in turns]
+def _paths(path: str, pattern: str):
+    def each(batches):
+        c = codec(path, pattern)
+        for b in batches:
+            paths, tokens, parts = [], [], []
+            for turns in b["turns"].to_pylist():
+                told = [(t["role"] or "", t["text"] or "") for t in turns]
+                paths.append(b"".join(_turn_digest(*t) for t in told))
+                ids, cut = [], []
+                for role, text in told:
+                    whole, a, z = segment(role, text)
+                    three = [c.encode(x) for x in (whole[:a], whole[a:z], whole[z:])]
+                    ids.append(three[0] + three[1] + three[2])
+                    cut += [len(three[0]), len(three[0]) + len(three[1])]
+                tokens.append(ids)
+                parts.append(cut)
+            cols = b["conv_id"], b["turns"], pa.array(paths, pa.binary()), pa.array(tokens, pa.list_(pa.list_(pa.int32()))), pa.array(parts, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(cols), names=["conv_id", "turns", "path", "ids", "cut"])
+
+    return each
+
+
+def _lengths(turns, ids) -> list[tuple[int, int]]:
+    """Characters and tokens of each turn."""
+    return [(len(segment(t["role"] or "", t["text"] or "")[0]), len(i)) for t, i in zip(turns, ids)]
 
 
 def _ends(batches):
-    """One row: the partition's first and last path, where their turns lie in the stream of this partition alone, and its length."""
+    """One row: the partition's first and last path, where their turns begin and end in this partition's stream, and its length.
+
+    Places are flat: characters from and to, tokens from and to.
+    """
     first = last = None
-    stack, total = [], 0
+    stack, chars, tokens = [], 0, 0
     for b in batches:
-        for turns, path in zip(b["turns"].to_pylist(), b["path"].to_pylist()):
+        for turns, path, ids in zip(b["turns"].to_pylist(), b["path"].to_pylist(), b["ids"].to_pylist()):
             same = _shared(last, path) if last is not None else 0
             del stack[same:]
-            for n in _lengths(turns[same:]):
-                stack.append((total, total + n))
-                total += n
+            for n, m in _lengths(turns[same:], ids[same:]):
+                stack.append((chars, chars + n, tokens, tokens + m))
+                chars, tokens = chars + n, tokens + m
             if first is None:
                 first, begun = path, list(stack)
             last = path
     if first is not None:
         flat = lambda x: [y for z in x for y in z]
-        row = [TaskContext.get().partitionId(), first, last, flat(begun), flat(stack), total]
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["part", "first", "last", "begun", "stack", "total"])
+        row = [TaskContext.get().partitionId(), first, last, flat(begun), flat(stack), chars, tokens]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["part", "first", "last", "begun", "stack", "chars", "tokens"])
 
 
-def _starts(rows) -> dict[int, tuple[int, bytes, list[tuple[int, int]]]]:
-    """By partition: its offset, the path before it, and where that path's turns lie."""
-    out, offset, before, stack = {}, 0, b"", []
-    pairs = lambda x: list(zip(x[::2], x[1::2]))
+def _starts(rows) -> dict[int, tuple[tuple[int, int], bytes, list[tuple]]]:
+    """By partition: its offsets in characters and tokens, the path before it, and where that path's turns lie."""
+    out, at, before, stack = {}, (0, 0), b"", []
+    fours = lambda x: list(zip(x[::4], x[1::4], x[2::4], x[3::4]))
     for r in sorted(rows, key=lambda r: r.part):
         same = _shared(before, bytes(r.first))
-        out[r.part] = offset, before[: same * _DIGEST], stack[:same]
-        begun, end = pairs(r.begun), pairs(r.stack)
-        saved = begun[same - 1][1] if same else 0
+        out[r.part] = at, before[: same * _DIGEST], stack[:same]
+        begun, end = fours(r.begun), fours(r.stack)
+        saved = begun[same - 1][1::2] if same else (0, 0)
         inherited = min(same, _shared(bytes(r.first), bytes(r.last)))
-        stack = stack[:inherited] + [(a - saved + offset, b - saved + offset) for a, b in end[inherited:]]
-        offset, before = offset + r.total - saved, bytes(r.last)
+        c, t = at[0] - saved[0], at[1] - saved[1]
+        stack = stack[:inherited] + [(x[0] + c, x[1] + c, x[2] + t, x[3] + t) for x in end[inherited:]]
+        at, before = (c + r.chars, t + r.tokens), bytes(r.last)
     return out
 
 
@@ -128,51 +158,60 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
 
 
 _SPANS = "array<struct<from: long, to: long>>"
-_NODE = f"struct<start: long, end: long, position: long, depth: int, loss_from: int, loss_to: int, ancestors: {_SPANS}, text: string>"
+_NODE = f"struct<start: long, end: long, position: long, depth: int, loss_from: int, loss_to: int, ancestors: {_SPANS}, text: string, token_start: long, token_end: long, token_position: long, token_loss_from: int, token_loss_to: int, token_ancestors: {_SPANS}, ids: array<int>>"
 _ARROW_SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-_ARROW_NODES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("position", pa.int64()), ("depth", pa.int32()), ("loss_from", pa.int32()), ("loss_to", pa.int32()), ("ancestors", _ARROW_SPANS), ("text", pa.string())]))
+_PLACES = [("start", pa.int64()), ("end", pa.int64()), ("position", pa.int64()), ("depth", pa.int32()), ("loss_from", pa.int32()), ("loss_to", pa.int32()), ("ancestors", _ARROW_SPANS), ("text", pa.string())]
+_TOKEN_PLACES = [("token_start", pa.int64()), ("token_end", pa.int64()), ("token_position", pa.int64()), ("token_loss_from", pa.int32()), ("token_loss_to", pa.int32()), ("token_ancestors", _ARROW_SPANS), ("ids", pa.list_(pa.int32()))]
+_ARROW_NODES = pa.list_(pa.struct(_PLACES + _TOKEN_PLACES))
 
 
 def _emit(starts):
     def each(batches):
-        at = starts.get(TaskContext.get().partitionId())
-        if at is None:
+        here = starts.get(TaskContext.get().partitionId())
+        if here is None:
             return
-        offset, last, stack = at[0], at[1], list(at[2])
+        (char, token), last, stack = here[0], here[1], list(here[2])
         for b in batches:
             spans, nodes = [], []
-            for turns, path in zip(b["turns"].to_pylist(), b["path"].to_pylist()):
+            for turns, path, ids, cut in zip(*(b[c].to_pylist() for c in ("turns", "path", "ids", "cut"))):
                 same = _shared(last, path)
                 del stack[same:]
-                new, position = [], sum(e - s for s, e in stack)
+                new, position, above = [], sum(x[1] - x[0] for x in stack), sum(x[3] - x[2] for x in stack)
                 for depth, t in enumerate(turns[same:], same):
                     text, a, z = segment(t["role"] or "", t["text"] or "")
-                    loss = (t["role"] or "") == LOSS_ROLE
-                    new.append({"start": offset, "end": offset + len(text), "position": position, "depth": depth, "loss_from": a if loss else None, "loss_to": z if loss else None, "ancestors": _merged(stack), "text": text})
-                    stack.append((offset, offset + len(text)))
-                    offset += len(text)
-                    position += len(text)
+                    n, m, loss = len(text), len(ids[depth]), (t["role"] or "") == LOSS_ROLE
+                    masked = (a, z, *cut[2 * depth : 2 * depth + 2]) if loss else (None,) * 4
+                    new.append({
+                        "start": char, "end": char + n, "position": position, "depth": depth, "loss_from": masked[0], "loss_to": masked[1], "ancestors": _merged([x[:2] for x in stack]), "text": text,
+                        "token_start": token, "token_end": token + m, "token_position": above, "token_loss_from": masked[2], "token_loss_to": masked[3], "token_ancestors": _merged([x[2:] for x in stack]), "ids": ids[depth],
+                    })
+                    stack.append((char, char + n, token, token + m))
+                    char, token, position, above = char + n, token + m, position + n, above + m
                 last = path
-                spans.append([{"from": s, "to": e} for s, e in stack])
+                spans.append([{"from": x[0], "to": x[1]} for x in stack])
                 nodes.append(new)
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(p).digest() for p in b["path"].to_pylist()], pa.binary()), pa.array(spans, _ARROW_SPANS), pa.array(nodes, _ARROW_NODES)], names=["path_id", "spans", "nodes"])
 
     return each
 
 
-def tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, paths, members): nodes in depth-first stream places; path_id with the spans of its turns; conv_id with its path_id."""
+def tree(conversations: DataFrame, path: str, pattern: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, paths, members): nodes in depth-first stream places; path_id with the spans of its turns; conv_id with its path_id.
+
+    path, pattern: the rank file and the pattern of the tokens.
+    """
     spark = tune(conversations.sparkSession)
     turn = F.struct("turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     grouped = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     grouped = grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    convs = keep(grouped.mapInArrow(_paths, "conv_id long, turns array<struct<role: string, text: string>>, path binary"))
+    convs = keep(grouped.mapInArrow(_paths(path, pattern), "conv_id long, turns array<struct<role: string, text: string>>, path binary, ids array<array<int>>, cut array<int>"))
     members = convs.select("conv_id", F.unhex(F.md5("path")).alias("path_id"))
-    distinct = convs.groupBy("path").agg(F.first("turns").alias("turns")).select("turns", "path")
+    distinct = convs.groupBy("path").agg(F.first(F.struct("turns", "ids", "cut")).alias("x")).select("x.*", "path")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch(spark))
     ordered = distinct.repartitionByRange("path").sortWithinPartitions("path").checkpoint()
-    starts = _starts(ordered.mapInArrow(_ends, "part long, first binary, last binary, begun array<long>, stack array<long>, total long").collect())
+    places = "part long, first binary, last binary, begun array<long>, stack array<long>, chars long, tokens long"
+    starts = _starts(ordered.mapInArrow(_ends, places).collect())
     out = keep(ordered.mapInArrow(_emit(starts), f"path_id binary, spans {_SPANS}, nodes array<{_NODE}>"))
     return out.select(F.explode("nodes").alias("n")).select("n.*"), out.select("path_id", "spans"), members
 
