@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import keep, tune
+from millrace.llm.common import fresh, keep, sole, tune
 
 BITS, STEP = 63, 12
 MOST_BROADCAST = 100_000  # rows about sources; beyond it the join is left to the planner
@@ -53,6 +53,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h): words, and 63 bits of hash."""
 
     def each(batches):
+        sole("mixing", lambda: None)
         for b in batches:
             n = [len(t.encode().split()) if t else 0 for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], pa.array(n, pa.int64()), b["h"]], names=["doc_id", "source", "size", "h"])
@@ -115,10 +116,10 @@ def mixed(docs: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
     rows = keep(sized(docs))
     sources = _plan(rows, weights, most).groupBy("source", "copies").agg(F.min("h").alias("low"), F.max("h").alias("high"))
     names = docs.columns
-    plan = keep(sources, 1)
+    h, source, copies, low, high, copy = fresh(names, "h", "s", "copies", "low", "high", "copy")
     # A source has two numbers of copies at most, on either side of its threshold.
-    hashed = docs.withColumn("__h", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), "text"), 1))
-    plan = plan.select(F.col("source").alias("__source"), F.col("copies").alias("__copies"), F.col("low").alias("__low"), F.col("high").alias("__high"))
-    on = F.col("source").cast("string").eqNullSafe(F.col("__source")) & F.col("__h").between(F.col("__low"), F.col("__high"))
+    hashed = docs.withColumn(h, F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), "text"), 1))
+    plan = keep(sources.select(*[F.col(c).alias(n) for c, n in (("source", source), ("copies", copies), ("low", low), ("high", high))]), 1)
+    on = F.col("source").cast("string").eqNullSafe(F.col(source)) & F.col(h).between(F.col(low), F.col(high))
     out = hashed.where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).join(plan, on)
-    return out.where("__copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*names)
+    return out.where(F.col(copies) > 0).select(*names, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).select(*names)
