@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, chat, embedding, licenses, mixing, packing, quality, simhash, substring, warc
 
-BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE, MULTI_BPE, PIECE_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op2_chat_tree(spark, sf_dir):
     told = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(*chat.tree(told.unionByName(more)))
+    return chat.read_back(*chat.tree(told.unionByName(more), BYTE_BPE, public_tokenizers.PATTERN))
 
 
 def op3_license_scan(spark, sf_dir):
@@ -52,7 +52,7 @@ def op8_substring_dedup(spark, sf_dir):
 
 
 def op9_quality(spark, sf_dir):
-    return quality.rules(_table(spark, sf_dir, "documents"), PIECE_BPE)
+    return quality.rules(_table(spark, sf_dir, "documents"), PIECE_BPE, MULTI_BPE, public_tokenizers.PATTERN)
 
 
 def op10_warc(spark, sf_dir):

@@ -6,6 +6,7 @@ import re
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -20,6 +21,7 @@ counted their stores again. Nobody spoke of the winter before; it was enough to
 stack peat beside each door and to light one lamp in the harbour window every evening. When a boat
 did come, in the second week of January, its crew found bread, warm soup and a table already laid."""
 RANKS = P.path("byte_bpe_50k.tiktoken")
+VOCABULARIES = P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
 
 
 def docs(spark, texts, ids=None):
@@ -138,7 +140,7 @@ def test_similar_joins_clusters_beyond_their_hubs(spark):
 def test_similar_keeps_forms_with_other_values(spark):
     rng = random.Random(4)
     texts = ["\n".join(f"sensor reading from the north station was {rng.randrange(10**9)}" for _ in range(n)) for n in (50, 50, 50, 200, 200, 400)]
-    kept = quality.filtered(docs(spark, texts), P.path("piece_bpe_32k.model"))
+    kept = quality.filtered(docs(spark, texts), *VOCABULARIES)
     assert {r.doc_id: r.component_id for r in simhash.similar(kept).collect()} == {i: i for i in range(len(texts))}
 
 
@@ -168,6 +170,23 @@ def test_substring(spark):
     assert all(new[i].text == t for i, t in rows if not got[i][1]) and new[0].body == "x"
 
 
+def test_substring_tells_crafted_words_apart(spark):
+    thue = "a"
+    for _ in range(11):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    for n in (16, 512, 1024, 2048):  # equal under any polynomial modulo 2**64 from about 2**10 letters on
+        rest = " ".join(f"w{i}" for i in range(12))
+        rows = substring.dedup(docs(spark, [f"{thue[:n]} {rest}", f"{other[:n]} {rest}", f"{thue[:n]} {rest}"])).collect()
+        assert {r.doc_id: r.n_removed for r in rows} == {0: 0, 1: 0, 2: 13}
+
+
+def test_substring_keeps_columns_of_any_name(spark):
+    df = docs(spark, corpus(20)).withColumn("shard", F.lit("mine")).withColumn("To", F.lit(3)).withColumn("_shard", F.lit(1))
+    got = substring.rewritten(df)
+    assert got.columns == df.columns and {(r["shard"], r["To"], r["_shard"]) for r in got.collect()} == {("mine", 3, 1)}
+
+
 def test_embedding(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(6, 16))
@@ -184,6 +203,42 @@ def test_embedding(spark):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i, _, _ in odd)
 
 
+def test_embedding_tiles_lose_nothing(spark):
+    rng = np.random.default_rng(11)
+    n, d = 20_000, 64
+    x = rng.normal(size=(n, d)) / 8
+    group = rng.integers(0, 300, n)
+    near = rng.random(n) < 0.2
+    x[near] = x[group[near]] + rng.normal(size=(near.sum(), d)) / 8 * rng.choice([0.1, 0.25, 0.28, 0.3], (near.sum(), 1))
+    x = x.astype(np.float32)
+    label = np.where(near, group % 3, rng.integers(0, 3, n))
+    label[:300] = np.arange(300) % 3
+    rows = spark.createDataFrame(__import__("pandas").DataFrame({"vec_id": np.arange(n), "embedding": x.tolist(), "label": label}), "vec_id long, embedding array<float>, label int")
+    got = embedding.near_duplicates(rows, tile=1000).toPandas().sort_values("vec_id")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links, want = np.zeros(n, int), np.arange(n)
+    for c in range(3):
+        at = np.flatnonzero(label == c)
+        linked = u[at] @ u[at].T >= 0.93
+        links[at], want[at] = linked.sum(1) - 1, at[brute_components(linked)]
+    assert links.sum() > 10_000 and got.n_links.tolist() == links.tolist() and got.component_id.tolist() == want.tolist()
+
+
+def test_embedding_far_tiles_do_not_meet(spark):
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(8, 64))
+    rows = [(i, (centre[i % 8] + rng.normal(size=64) * 0.02).tolist(), 0) for i in range(800)]
+    one = [pa.array([64] * 2, pa.int32()), *(pa.array([x.astype(np.float32).tobytes()] * 2, pa.binary()) for x in (centre[0], centre[0] + 0.01))]
+    far = [pa.array([x.astype(np.float32).tobytes(), (x * 3).astype(np.float32).tobytes()], pa.binary()) for x in (centre[1] - 9, centre[1] - 8.9)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 4]), *one, *far], names=["a", "b", "d", "low", "high", "low2", "high2"])
+    assert [b.num_rows for b in embedding._near_tiles(0.93)([batch])] == [0]
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile=64).collect()
+    assert {(r.vec_id, r.component_id, r.n_links) for r in got} == {(i, i % 8, 99) for i in range(800)}
+    huge = [(0, [1e300, 1e300], 0), (1, [1e-300, 1e-300], 0), (2, [-1e300, 1e300], 0)]
+    got = embedding.near_duplicates(spark.createDataFrame(huge, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.component_id, r.n_links) for r in got) == [(0, 0, 1), (1, 0, 1), (2, 2, 0)]
+
+
 def test_bpe_is_tiktokens(spark):
     c = bpe.codec(RANKS, P.PATTERN)
     same = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
@@ -193,11 +248,24 @@ def test_bpe_is_tiktokens(spark):
     for t in texts:
         want = same.encode_ordinary(t)
         assert c.encode(t) == want and c.decode(want).decode() == t
-        assert c.digests(t)[1] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert c.digests(t) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     rows = {r.doc_id: r for r in bpe.encode(docs(spark, texts + [None]), RANKS, P.PATTERN).collect()}
     assert all(bytes(rows[i].decoded).decode() == t for i, t in enumerate(texts)) and rows[len(texts)].ids == []
 
 
+def test_bpe_under_other_patterns_and_ranks():
+    ranks = bpe.read_ranks(RANKS)
+    camel = r"[A-Z]?[^A-Z]+|[A-Z]"
+    texts = ["camelCaseWords in AText, HTTPServer 12", "  Two  SPACES a  b", "", "éÉ ñÑ"]
+    more = ranks | {b" qzxj": 50300, b"zqxj": 50301}  # no merges make these
+    for pattern, r in ((camel, ranks), (P.PATTERN, more), (camel, more)):
+        c = bpe.Codec(r, pattern)
+        same = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=r, special_tokens={})
+        for t in texts + ["a qzxj zqxj qzxjqzxj", "zqxj", "Azqxj zqxjzqxj"]:
+            want = same.encode_ordinary(t)
+            assert c.encode(t) == want and c.digests(t)[0] == len(want) and c.decode(want).decode() == t
+
+
 def test_bpe_takes_tokens_of_any_length(tmp_path):
     import base64
 
@@ -228,17 +296,68 @@ def test_mixing(spark):
     assert mixing.mixed(df).count() == sum(r.copies for r in rows if r.size)
 
 
+def brute_mix(sizes_of, hashes, weights=(1, 2, 3), most=3):
+    """By row the copies, from the contract: targets by repeated capping, then the best threshold over all sorted hashes."""
+    total = {}
+    for s, n in sizes_of:
+        total[s] = total.get(s, 0) + n
+    order = sorted([s for s in total if s is not None]) + [None] * (None in total)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, capped = {}, set()
+    while True:
+        left = sum(total.values()) - sum(most * total[s] for s in capped)
+        open_ = sum(weight[s] for s in order if s not in capped)
+        target = {s: most * total[s] if s in capped else left * weight[s] / open_ for s in order} if open_ else {s: most * total[s] for s in order}
+        over = {s for s in order if s not in capped and target[s] > most * total[s]}
+        if not over:
+            break
+        capped |= over
+    best = {}
+    for s in order:
+        rows = sorted((h, n) for (t, n), h in zip(sizes_of, hashes) if t == s and n)
+        taken = [0] + list(np.cumsum([n for _, n in rows]))
+        whole = min(most, int(target[s] // total[s])) if total[s] else 0
+        rest = target[s] - whole * total[s] if whole < most else 0
+        best[s] = target[s], whole, min((abs(t - rest) for t in taken)) if rows else 0
+    return best
+
+
+def test_mixing_is_the_brute_force(spark):
+    rng = random.Random(6)
+    for n, seed in ((1, 1), (7, 2), (300, 3)):
+        texts = [" ".join(["w"] * rng.choice([0, 1, 5, 40, 400])) or None for _ in range(n)] + ["w " * 300] * 3
+        df = docs(spark, texts)
+        rows = mixing.mix(df).collect()
+        want = brute_mix([(r.source, r.size) for r in rows], [0] * len(rows))
+        hashed = {r.doc_id: r.h for r in mixing.sized(df).collect()}
+        want = brute_mix([(r.source, r.size) for r in rows], [hashed[r.doc_id] for r in rows])
+        for s in {r.source for r in rows}:
+            mine = [r for r in rows if r.source == s]
+            target, whole, off = want[s]
+            assert all(abs(r.target - target) < 1e-6 and r.copies in (whole, whole + 1) for r in mine)
+            assert abs(abs(sum(r.taken for r in mine) - target) - off) < 1e-6
+            more = [hashed[r.doc_id] for r in mine if r.size and r.copies > whole]
+            less = [hashed[r.doc_id] for r in mine if r.size and r.copies == whole]
+            assert not more or not less or max(more) < min(less)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    df = docs(spark, corpus(30)).withColumn("__h", F.lit("mine")).withColumn("__copy", F.lit(2)).withColumn("H", F.lit(3)).withColumn("copies", F.lit(4)).withColumn("s", F.lit(5)).withColumn("low", F.lit(6))
+    got = mixing.mixed(df)
+    assert got.columns == df.columns and {(r["__h"], r["__copy"], r["H"], r["copies"], r["s"], r["low"]) for r in got.collect()} == {("mine", 2, 3, 4, 5, 6)}
+
+
 def test_quality(spark):
     line = "the quick brown fox jumps over a lazy dog again"
     texts = [line + "\n" + line + "\n\n" + line, " ".join(f"word{i} &" for i in range(40)), None, "", "ab #é\n", "\ufffd\u0bf5\u1234 " * 100, CLEAN]
-    got = {r.doc_id: r for r in quality.rules(docs(spark, texts), P.path("piece_bpe_32k.model")).collect()}
+    got = {r.doc_id: r for r in quality.rules(docs(spark, texts), *VOCABULARIES).collect()}
     assert (got[0].n_words, got[0].n_dup_lines, got[0].n_repeat_words, got[0].base_failed) == (30, 2, 30, True)
     assert (got[1].n_symbols, got[1].n_repeat_words, got[1].base_failed) == (40, 0, False)
     assert got[1].token_entropy < 3 and not got[1].kept  # forty times the same few tokens
-    assert got[6].n_tokens >= quality.LEAST_TOKENS and got[6].kept
+    assert got[6].kept
     assert got[2].base_failed and got[3].n_words == 0 and (got[4].word_chars, got[4].n_symbols) == (4, 1)
     assert got[5].fallback_share > 0.5 and not got[5].kept
-    kept = quality.filtered(docs(spark, texts), P.path("piece_bpe_32k.model"))
+    kept = quality.filtered(docs(spark, texts), *VOCABULARIES)
     assert [r.doc_id for r in kept.collect()] == [i for i in got if got[i].kept] and kept.columns == docs(spark, []).columns
 
 
@@ -248,7 +367,7 @@ def test_quality_bands_tell_junk(spark):
     letters = lambda w: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
     syllables = lambda w: "".join(rng.choices(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"], k=3)) + rng.choice(["###", "$$$", "%%%", "***", "&&&"])
     texts = [text(letters, 30), text(letters, 300), text(syllables, 300), CLEAN, " ".join(CLEAN.split()[:24])]
-    got = {r.doc_id: r for r in quality.rules(docs(spark, texts).withColumn("lang", F.lit("en")), P.path("piece_bpe_32k.model")).collect()}
+    got = {r.doc_id: r for r in quality.rules(docs(spark, texts).withColumn("lang", F.lit("en")), *VOCABULARIES).collect()}
     assert not any(r.base_failed for r in got.values())
     assert [got[i].kept for i in range(5)] == [False, False, False, True, True], got
 
@@ -257,7 +376,9 @@ def test_chat(spark):
     said = "\\### Assistant: </turn> ok"
     rows = [(c, t, r, x) for c in range(40) for t, (r, x) in enumerate([("system", "s"), ("user", f"q{c % 3}"), ("assistant", said), ("user", f"r{c % 7}"), ("assistant", None)][: 2 + c % 4])]
     rows += [(99, t, "assistant", f"\\{t}</turn>\n###") for t in range(500)] + [(None, None, None, None), (98, 0, "a:\n\\b", "x"), (98, 0, "a:\n\\b", "x")]
-    nodes, paths, members = chat.tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    rows += [(97, 0, "a\0b", "c"), (96, 0, "a", "b\0c"), (95, 0, "user", "long " * 60_000), (94, 0, "a0:", ""), (93, 0, "a", "0:")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("Path", F.lit(1)).withColumn("turns", F.lit("x"))
+    nodes, paths, members = chat.tree(table, RANKS, P.PATTERN)
     got = {r.conv_id: r for r in chat.read_back(nodes, paths, members).collect()}
     for c in {r[0] for r in rows}:
         turns = [(r or "", x or "") for _, r, x in sorted((t or 0, r or "", x or "") for k, t, r, x in rows if k == c)]
@@ -268,6 +389,21 @@ def test_chat(spark):
     assert all(a.end == b.start for a, b in zip(tree, tree[1:])) and tree[0].start == 0
     assert all(n.position == sum(s["to"] - s["from"] for s in n.ancestors) for n in tree)
     assert len(tree) == len({(tuple(map(tuple, n.ancestors)), n.text) for n in tree})
+    c = bpe.codec(RANKS, P.PATTERN)
+    assert all(a.token_end == b.token_start for a, b in zip(tree, tree[1:])) and tree[0].token_start == 0
+    at = {n.start: n for n in tree}
+    for n in tree:
+        assert c.decode(n.ids).decode() == n.text and n.token_end - n.token_start == len(n.ids)
+        assert n.token_position == sum(s["to"] - s["from"] for s in n.token_ancestors)
+        assert (n.loss_from is None) == (n.token_loss_from is None)
+        if n.loss_from is not None:
+            assert c.decode(n.ids[n.token_loss_from : n.token_loss_to]).decode() == n.text[n.loss_from : n.loss_to]
+    for p in paths.collect():  # a path's tokens, and what its last node attends to, are one conversation's
+        way = [at[s["from"]] for s in p.spans]
+        seen = {t for s in way[-1].token_ancestors for t in range(s["from"], s["to"])}
+        assert seen == {t for n in way[:-1] for t in range(n.token_start, n.token_end)}
+    empty = table.where("conv_id = 12345")
+    assert chat.read_back(*chat.tree(empty, RANKS, P.PATTERN)).count() == 0
 
 
 def test_licenses(spark):
@@ -296,19 +432,52 @@ def test_licenses_are_found_at_any_width(spark):
     assert {r.license for r in licenses.scan(docs(spark, [x + "\n" + licenses._MIT for x in notices])).collect()} == {"MIT"}
 
 
+def slow_pack(texts, encode, length, end, pad):
+    """By matrix row: [(text, part, ids)], rows in the order in which they are opened, from the contract alone."""
+    parts = []
+    for i, t in texts:
+        ids = encode(t or "") + [end]
+        parts += [(i, p, ids[p * length : (p + 1) * length]) for p in range(-(-len(ids) // length))]
+    rows = []
+    for part in sorted(parts, key=lambda x: -len(x[2])):
+        rooms = [(length - sum(len(x[2]) for x in row), k) for k, row in enumerate(rows)]
+        fits = [r for r in rooms if r[0] >= len(part[2])]
+        least = min(r[0] for r in fits) if fits else 0
+        at = [k for r, k in fits if r == least]
+        rows.append([part]) if not fits else rows[at[-1]].append(part)
+    return rows
+
+
 def test_packing(spark):
-    texts = corpus(20) + ["word " * 9000]
+    texts = corpus(20) + ["word " * 9000, "x" * 5000, "x" * 511, "é" * 9000, " " * 4000 + "a"]
     c = bpe.codec(RANKS, P.PATTERN)
-    parts = {}
+    parts, used = {}, []
     for row in packing.pack(docs(spark, texts), RANKS, P.PATTERN, length=512).collect():
         r = row.asDict()
-        assert 2 * r["n_rows"] * 512 == len(r["ids"]) and max(r["cu_seqlens"]) <= 512
-        for d, p, ids in packing.unpack(r):
+        n = r["n_rows"]
+        assert 2 * n * 512 == len(r["ids"]) and max(r["cu_seqlens"]) <= 512
+        matrix, where = np.frombuffer(r["ids"], "<u2").reshape(n, 512), packing.positions(np.array(r["resets"]), n * 512).reshape(n, 512)
+        at = [0] * n
+        for k, (d, p, ids) in enumerate(packing.unpack(r)):
+            m, row_ = len(ids), r["seg_row"][k]
+            assert r["seg_length"][k] == m and r["cu_seqlens"][k] == at[row_] + m
+            assert where[row_, at[row_] : at[row_] + m].tolist() == list(range(m))
+            at[row_] += m
             parts[d, p] = ids
+        for row_, n_used in enumerate(at):
+            assert (matrix[row_, n_used:] == 50256).all() and where[row_, n_used:].tolist() == list(range(512 - n_used))
+        mine = sorted({d for d in r["doc_id"]})
+        used.append(n)
+        want = slow_pack([(i, texts[i]) for i in mine], c.encode, 512, 50256, 50256)
+        assert len(want) == n and sorted(512 - sum(len(x[2]) for x in row) for row in want) == sorted(512 - x for x in at)
     for i, t in enumerate(texts):
         ids = [x for p in range(len(parts)) if (i, p) in parts for x in parts[i, p]]
-        assert ids[-1] == 50256 and c.decode(ids[:-1]) == (t or "").encode()
-    assert packing.positions(np.array([3, 5]), 6).tolist() == [0, 1, 2, 0, 1, 0]
+        assert ids[-1] == 50256 and c.decode(ids[:-1]) == (t or "").encode() and ids[:-1] == c.encode(t or "")
+
+
+def test_packing_of_large_vocabularies(spark):
+    row = packing.pack(docs(spark, ["a b", None]).coalesce(1), RANKS, P.PATTERN, length=8, end=70_000).first().asDict()
+    assert len(row["ids"]) == 4 * 8 * row["n_rows"] and {tuple(ids) for _, _, ids in packing.unpack(row)} == {(64, 275, 70_000), (70_000,)}
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -345,7 +514,7 @@ def test_warc_keeps_headers(spark):
     assert [r.block for r in rows if r.type == "conversion"] == ["Headline\nx\ny"]
 
 
-@pytest.mark.parametrize("run", [simhash.near_duplicates, simhash.similar, substring.dedup, mixing.mix, mixing.mixed, licenses.scan, lambda d: quality.rules(d, P.path("piece_bpe_32k.model")), lambda d: bpe.digests(d, RANKS, P.PATTERN), lambda d: packing.pack(d, RANKS, P.PATTERN)])
+@pytest.mark.parametrize("run", [simhash.near_duplicates, simhash.similar, substring.dedup, mixing.mix, mixing.mixed, licenses.scan, lambda d: quality.rules(d, *VOCABULARIES), lambda d: bpe.digests(d, RANKS, P.PATTERN), lambda d: packing.pack(d, RANKS, P.PATTERN)])
 def test_empty_and_null_tables(spark, run):
     assert run(docs(spark, [])).count() == 0
     nulls = spark.createDataFrame([(None,) * 6] * 3 + [(1, None, None, None, None, None)] * 2, DOCS)
@@ -360,7 +529,7 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert got and {r.doc_id for r in got} <= set(range(len(texts)))
     assert corpus_pipeline.near_dedup(spark, docs(spark, texts + [texts[0]]).drop("body"), "").where(f"doc_id = {len(texts)}").count() == 0
-    good = quality.filtered(docs(spark, texts).drop("body"), P.path("piece_bpe_32k.model"))
+    good = quality.filtered(docs(spark, texts).drop("body"), *VOCABULARIES)
     kept = corpus_pipeline.near_dedup(spark, good, str(tmp_path))
     assert kept.columns == corpus_pipeline.COLUMNS
     rows = [(r.doc_id, r.text) for r in kept.collect()]
