@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.windows import fixed
+from millrace.operators.windows import fixed, sliding, times
+
 
+def keyed(df: DataFrame, size: str, keys: list, ts: str = "ts", keep_window: bool = False, **aggs: Column) -> DataFrame:
+    """One row per window and key, with ``start`` and ``end``; nothing for windows without rows.
 
-def keyed(df: DataFrame, size: str, keys: list, ts: str = "ts", **aggs: Column) -> DataFrame:
-    """One row per window and key, with ``start`` and ``end``; nothing for windows without rows."""
+    ``keep_window`` also keeps the ``window`` itself, by which a stream can be aggregated further.
+    """
     out = df.groupBy(fixed(ts, size).alias("window"), *keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *[c for c in out.columns if c != "window"])
+    kept = [c for c in out.columns if keep_window or c != "window"]
+    return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *kept)
 
 
 def windowed(df: DataFrame, size: str, ts: str = "ts", **aggs: Column) -> DataFrame:
@@ -29,17 +38,16 @@ def dense(agg: DataFrame, size: str, **empty) -> DataFrame:
 
 
 def sliding_sum(df: DataFrame, value: str, panes: int, pane: str, ts: str = "ts", keys: list | None = None) -> DataFrame:
-    """Sums over ``panes`` consecutive panes, sliding by one.
+    """Sums over ``panes`` consecutive panes, sliding by one, in batch and in streams.
 
     Rows are summed by pane first, and only panes are repeated into the windows they lie
     in, so that work doesn't grow with the overlap.
     """
     keys = keys or []
-    part = keyed(df, pane, keys, ts, total=F.sum(value))
-    step = F.expr(f"INTERVAL {pane}")
-    firsts = F.transform(F.sequence(F.lit(0), F.lit(panes - 1)), lambda i: F.col("start") - step * i)
-    spread = part.select(*keys, F.explode(firsts).alias("start"), "total")
-    return spread.groupBy("start", *keys).agg(F.sum("total").alias("total")).withColumn("end", F.col("start") + step * panes)
+    part = df.groupBy(fixed(ts, pane).alias("pane"), *keys).agg(F.sum(value).alias("total"))
+    wide = sliding(F.window_time("pane"), times(pane, panes), pane)
+    out = part.groupBy(wide.alias("window"), *[k if isinstance(k, str) else F.col(part.columns[i + 1]) for i, k in enumerate(keys)]).agg(F.sum("total").alias("total"))
+    return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *[c for c in out.columns if c != "window"])
 
 
 def distinct_values(value: Column | str) -> Column:
@@ -63,5 +71,38 @@ def sketch_distinct(value: str) -> Column:
 
 
 def reducer(returns: str):
-    """A decorator: a function from a pandas Series of one group to a value becomes a grouped aggregate."""
+    """A decorator: a function from a pandas Series of one group to a value becomes a grouped aggregate. The group must fit a worker."""
     return lambda f: F.pandas_udf(f, returns)
+
+
+class Fold:
+    """A user aggregate in three parts; unlike ``reducer`` it needs no group in one place.
+
+    ``zero`` begins a state (any JSON value), ``add`` takes it and a pandas Series of values further, ``merge`` joins two states.
+    """
+
+    def zero(self):
+        return None
+
+    def add(self, state, values: pd.Series):
+        raise NotImplementedError
+
+    def merge(self, a, b):
+        raise NotImplementedError
+
+
+def fold(df: DataFrame, fn: Fold, keys: list[str], value: str, name: str, returns: str = "string") -> DataFrame:
+    """(*keys, name): states folded batch by batch where the rows are, then merged by key, a state a batch and key. Null keys are a key."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    shape = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "state string"])
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(*(k if isinstance(k, tuple) else (k,)), json.dumps(fn.add(fn.zero(), g[value]))) for k, g in b.groupby(keys, dropna=False, sort=False)]
+            yield pd.DataFrame(rows, columns=[*keys, "state"])
+
+    def whole(states: pd.Series) -> str:
+        return json.dumps(reduce(fn.merge, map(json.loads, states)))
+
+    merged = df.select(*keys, value).mapInPandas(part, shape).groupBy(*keys).agg(F.pandas_udf(whole, "string")("state").alias(name))
+    return merged.withColumn(name, F.col(name).cast(returns))

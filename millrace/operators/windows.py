@@ -5,9 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ranks import fresh, with_rank
+
 MICRO = "1 microsecond"
 
 
+def times(size: str, n: int) -> str:
+    """An interval of one number and unit, n times."""
+    number, unit = size.split()
+    return f"{int(number) * n} {unit}"
+
+
+_MICROS = {"microsecond": 1, "millisecond": 1000, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6, "week": 7 * 86400 * 10**6}
+
+
+def micros(size: str) -> int:
+    """An interval of one number and unit, in microseconds."""
+    number, unit = size.split()
+    return int(number) * _MICROS[unit.rstrip("s")]
+
+
 def fixed(ts: Column | str, size: str, origin: str | None = None) -> Column:
     """Half-open event-time windows [start, start + size), aligned to the epoch or shifted by ``origin``."""
     return F.window(ts, size, startTime=origin) if origin else F.window(ts, size)
@@ -36,16 +53,15 @@ def session_bounds(w: Column | str) -> list[Column]:
 
 
 def count_windows(df: DataFrame, n: int, order: list[str], compat: bool = False, parts: int | None = None) -> DataFrame:
-    """Adds ``win_id``: every n records in ``order`` (unique). Batch only.
+    """Adds ``win_id``: every n records in ``order`` (unique). Batch only; see streaming.count_windows.
 
     ``compat`` numbers records from 1 before dividing, so that window 0 holds n - 1 of them.
-    Ranks come from a range-partitioned sort and each partition's offset (a row a partition
+    Ranks come from a range-partitioned sort and each range's offset (a row a range
     on the driver), not from one global window in one task.
     """
-    from millrace.operators.ranks import with_rank
-
-    ranked = with_rank(df, order, "__rank", parts)
-    return ranked.withColumn("win_id", F.floor((F.col("__rank") + (1 if compat else 0)) / F.lit(n)).cast("long")).drop("__rank")
+    (rank,) = fresh(df.columns, "rank")
+    ranked = with_rank(df, order, rank, parts)
+    return ranked.withColumn("win_id", F.floor((F.col(rank) + (1 if compat else 0)) / F.lit(n)).cast("long")).drop(rank)
 
 
 def top_k(df: DataFrame, k: int, by: str, value: str, tie: str) -> DataFrame:
