@@ -28,15 +28,18 @@ def tweets(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     return json_text(lines(spark, path, stream))
 
 
-def json_text(df: DataFrame, column: str = "value", field: str = "text") -> DataFrame:
-    return df.select(F.get_json_object(column, f"$.{field}").alias(field)).where(F.col(field).isNotNull())
+def json_text(df: DataFrame, column: str = "value", field: str = "text", kind: str = "string") -> DataFrame:
+    """A field of JSON objects in place of them; objects without it, or with one that isn't of the kind, go. Other columns stay."""
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.get_json_object(column, f"$.{field}").try_cast(kind).alias(field)).where(F.col(field).isNotNull())
 
 
 def byte_ranges(df: DataFrame, size: int, column: str = "value") -> DataFrame:
-    """(data): texts cut into ranges of ``size`` characters, not at words; a shorter rest goes."""
-    n = F.floor(F.length(column) / F.lit(size))
-    cut = F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return df.select(F.explode(cut).alias("i"), column).select(F.substring(F.col(column), F.col("i") * size + 1, F.lit(size)).alias("data"))
+    """(..., i, data): texts cut into ranges of ``size`` characters, numbered from 0, not at words; a shorter rest goes. Other columns stay."""
+    others = [c for c in df.columns if c != column]
+    n = F.floor(F.length(column) / F.lit(size)).cast("int")
+    cut = df.where(n > 0).select(*others, column, F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    return cut.select(*others, F.col("i").cast("long").alias("i"), F.substring(F.col(column), F.col("i") * size + 1, F.lit(size)).alias("data"))
 
 
 def fixed_records(spark: SparkSession, path: str, size: int) -> DataFrame:
@@ -51,6 +54,11 @@ def _le(value: Column, at: int, n: int = 8) -> Column:
     return F.conv(F.concat(*[F.substring(h, i, 2) for i in range(2 * n - 1, 0, -2)]), 16, -10).cast("long")
 
 
+def _unsigned(value: Column, at: int) -> Column:
+    """Little-endian unsigned integer of 4 bytes."""
+    return _le(F.concat(F.substring(value, at + 1, 4), F.unhex(F.lit("00000000"))), 0)
+
+
 def _text(value: Column, at: int, n: int) -> Column:
     return F.regexp_extract(F.decode(F.substring(value, at + 1, n), "ISO-8859-1"), "^[^\\x00]*", 0)
 
@@ -67,7 +75,14 @@ def _double(value: Column, at: int) -> Column:
 def ad_events(df: DataFrame) -> DataFrame:
     """78-byte packed advertisement events."""
     v = F.col("value")
-    return df.select(F.substring(v, 1, 16).alias("user_id"), F.substring(v, 17, 16).alias("page_id"), F.substring(v, 33, 16).alias("campaign_id"), _text(v, 48, 9).alias("ad_type"), _text(v, 57, 9).alias("event_type"), F.timestamp_millis(_le(v, 66)).alias("ts"), _le(F.concat(F.substring(v, 75, 4), F.unhex(F.lit("00000000"))), 0).alias("ip"))
+    return df.select(F.substring(v, 1, 16).alias("user_id"), F.substring(v, 17, 16).alias("page_id"), F.substring(v, 33, 16).alias("campaign_id"), _text(v, 48, 9).alias("ad_type"), _text(v, 57, 9).alias("event_type"), F.timestamp_millis(_le(v, 66)).alias("ts"), _unsigned(v, 74).alias("ip"))
+
+
+def ad_texts(df: DataFrame) -> DataFrame:
+    """136-byte packed advertisement events with ids as text, in the columns of ``ad_csv`` that they have."""
+    v = F.col("value")
+    out = df.select(*[_text(v, a, n).alias(c) for c, a, n in (("user_id", 0, 36), ("page_id", 36, 36), ("ad_id", 72, 36), ("ad_type", 108, 16), ("event_type", 124, 8))], _unsigned(v, 132).alias("ip"))
+    return out.withColumn("num_event_type", F.when(F.col("event_type") == "view", 2).otherwise(0))
 
 
 def bids(df: DataFrame) -> DataFrame:
@@ -122,6 +137,15 @@ def counter(spark: SparkSession, n: int, per_bundle: int = 1024, start: str = "2
     return epoch_times(spark.range(n).withColumnRenamed("id", "value"), "value", per_bundle, 1, 1000, start, session_gap_ms)
 
 
+def replayed(spark: SparkSession, path: str, schema: str, times: int, files: int = 16) -> DataFrame:
+    """A folder of Parquet as a stream, ``times`` over: each pass is a source of its own, and ``pass`` tells it."""
+    one = lambda i: spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("pass", F.lit(i))
+    out = one(0)
+    for i in range(1, times):
+        out = out.unionByName(one(i))
+    return out
+
+
 def rate(spark: SparkSession, per_batch: int) -> DataFrame:
     """(timestamp, value): an unbounded counter for load tests."""
     return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", per_batch).load()
@@ -138,5 +162,6 @@ def generated_ads(spark: SparkSession, n: int, campaigns: int = 100, start: str
 def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
     """A Parquet table; zone-less times become UTC times, as watermarks need them."""
     path = f"{sf_dir}/{name}.parquet"
-    df = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path) if stream else spark.read.parquet(path)
+    # A stream takes a pattern, which may stand for a folder or for one file.
+    df = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*") if stream else spark.read.parquet(path)
     return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
