@@ -13,6 +13,8 @@ from millrace.operators import road as R
 from millrace.operators import user as U
 from millrace.operators import windows as W
 from millrace.sources import readers as S
+from millrace.storage import scratch
+from millrace.streaming import run as G
 
 QUERIES, ORACLES = {}, {}
 
@@ -84,9 +86,9 @@ def nexmark_q1(spark, d):
     return S.table(spark, d, "lineitem").select(F.col("l_partkey").alias("auction"), F.expr(f"{_CENTS} * 89 div 100").alias("price"))
 
 
-@query("SELECT event_id, CAST(trunc(value * 100) AS BIGINT) * 89 // 100 AS price FROM events WHERE value >= 0")
+@query("SELECT event_id, CAST(trunc(value * 100) AS BIGINT) * 89 // 100 AS price FROM events")
 def currency_project(spark, d):
-    return _events(spark, d).where("value >= 0").select("event_id", F.expr("cast(value * 100 as bigint) * 89 div 100").alias("price"))
+    return _events(spark, d).select("event_id", F.expr("cast(value * 100 as bigint) * 89 div 100").alias("price"))
 
 
 @query(f"SELECT l_partkey AS auction, {_CENTS} * 89 // 100 AS price FROM lineitem WHERE l_partkey IN {_AUCTIONS}")
@@ -97,14 +99,14 @@ def nexmark_q2(spark, d):
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_extract(spark, d):
-    return _events(spark, d).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).where("k IS NOT NULL")
+    return S.json_text(_events(spark, d).select("event_id", "props"), "props", "k", "long")
 
 
 @query("SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL")
 def tweet_text(spark, d):
     rows = S.table(spark, d, "conversations")
     lines = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("value"))
-    return lines.select("conv_id", "turn", F.get_json_object("value", "$.text").alias("text")).where("text IS NOT NULL")
+    return S.json_text(lines)
 
 
 @query("SELECT CAST(0 AS INTEGER) AS type, CAST(l_orderkey AS INTEGER) AS time, CAST(l_partkey AS INTEGER) AS vid, CAST(l_linenumber AS INTEGER) AS speed, 0 AS qid FROM lineitem")
@@ -113,10 +115,10 @@ def csv_parse(spark, d):
     return S.vehicle_reports(lines).select("type", "time", "vid", "speed", "qid")
 
 
-@query("SELECT o_orderkey, o_custkey, c_mktsegment AS campaign FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey, o_custkey, c_mktsegment AS campaign FROM orders JOIN customer ON o_custkey = c_custkey")
 def lookup_join(spark, d):
     table = S.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("campaign"))
-    rows = S.table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    rows = S.table(spark, d, "orders").select("o_orderkey", "o_custkey")
     return J.lookup_join(rows, table, "o_custkey")
 
 
@@ -135,19 +137,19 @@ def ip_pack(spark, d):
     return _rtt(spark, d).select("event_id", "pair")
 
 
-@query("SELECT event_id + 1 AS event_id, value * 2 AS value FROM events WHERE user_id < 50")
+@query("SELECT event_id + 1 AS event_id, value * 2 AS value FROM events")
 def pardo_plus1(spark, d):
     class Plus(U.BatchFn):
         def process(self, batch: pd.DataFrame) -> pd.DataFrame:
             return batch.assign(event_id=batch.event_id + 1, value=batch.value * 2)
 
-    return U.par_do(_events(spark, d).where("user_id < 50").select("event_id", "value"), Plus(), "event_id long, value double")
+    return U.par_do(_events(spark, d).select("event_id", "value"), Plus(), "event_id long, value double")
 
 
-@query("SELECT event_id, user_id + 1 AS user_id FROM events WHERE value IS NOT NULL AND user_id % 2 = 0")
+@query("SELECT event_id, user_id + 1 AS user_id FROM events WHERE value IS NOT NULL AND event_type <> 'error'")
 def update_cols(spark, d):
     rows = _events(spark, d)
-    return U.update_columns(rows, where=F.col("value").isNotNull() & (F.col("user_id") % 2 == 0), user_id=F.col("user_id") + 1).select("event_id", "user_id")
+    return U.update_columns(rows, where=F.col("value").isNotNull() & (F.col("event_type") != "error"), user_id=F.col("user_id") + 1).select("event_id", "user_id")
 
 
 @query("SELECT 'left' AS side, event_id FROM events WHERE event_type = 'click' UNION ALL SELECT 'right', event_id FROM events WHERE event_type = 'view'")
@@ -190,9 +192,12 @@ def grep_literal(spark, d):
 
 @query("SELECT doc_id, i, substr(text, i * 100 + 1, 100) AS data FROM (SELECT doc_id, text, unnest(range(0, length(text) // 100)) AS i FROM documents)")
 def byte_ranges(spark, d):
-    rows = S.table(spark, d, "documents").where("length(text) >= 100")
-    cut = rows.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("length(text) div 100 - 1"))).alias("i"))
-    return cut.select("doc_id", "i", F.substring(F.col("text"), (F.col("i") * 100 + 1).cast("int"), F.lit(100)).alias("data"))
+    return S.byte_ranges(S.table(spark, d, "documents").select("doc_id", "text"), 100, "text")
+
+
+@query("SELECT doc_id, unnest(['the' for x in range(0, (length(text) - length(replace(text, 'the', ''))) // 3)]) AS match FROM documents")
+def grep_literal_records(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", F.explode(T.literal_found("text", "the")).alias("match"))
 
 
 LEXICON = {"the": 1, "and": 2, "is": -1, "was": -2, "der": 3, "les": -3, "never met": 9}
@@ -200,14 +205,26 @@ _SCORE = "CAST(list_sum([CASE w " + " ".join(f"WHEN '{w}' THEN {s}" for w, s in
 _TS = "TIMESTAMP '2024-01-01' + to_seconds(doc_id % 3600)"
 
 
-def _scored(spark, d):
+def _timed(spark, d):
     ts = F.expr("TIMESTAMP '2024-01-01' + make_dt_interval(0, 0, 0, doc_id % 3600)")
-    return S.table(spark, d, "documents").select("doc_id", ts.alias("ts"), T.score(F.coalesce("text", F.lit("")), LEXICON).alias("score"))
+    return S.table(spark, d, "documents").select("doc_id", ts.alias("ts"), "text")
+
+
+def _scored(spark, d):
+    """Tokens with their scores: what is summed over them is summed over the documents."""
+    lines = spark.createDataFrame([(f"{w}\t{s}",) for w, s in LEXICON.items()], "value string")
+    return T.token_scores(_timed(spark, d).drop("doc_id"), "text", T.lexicon_lines(lines))
 
 
 @query(f"SELECT doc_id, {_SCORE} AS score FROM documents")
 def lexicon_score(spark, d):
-    return _scored(spark, d).select("doc_id", "score")
+    return S.table(spark, d, "documents").select("doc_id", T.score(F.coalesce("text", F.lit("")), LEXICON).alias("score"))
+
+
+@query("SELECT start, word, count(*) AS n FROM (SELECT time_bucket(INTERVAL '1 second', TIMESTAMP '2024-01-01' + to_seconds(doc_id % 3600), TIMESTAMP '1970-01-01') AS start, upper(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z'']*'))) AS word FROM documents) GROUP BY ALL")
+def wordcount(spark, d):
+    rows = _timed(spark, d).select("ts", F.explode(T.words("text")).alias("word"))
+    return A.keyed(rows, "1 second", ["word"], n=F.count("*")).drop("end")
 
 
 # ------------------------------------------------------------------ windows and aggregates
@@ -236,12 +253,11 @@ def tumbling_origin(spark, d):
     return _events(spark, d).groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-@query("""WITH a AS (SELECT time_bucket(INTERVAL '5 minutes', ts, TIMESTAMP '1970-01-01') AS start, sum(user_id) AS total FROM events WHERE user_id < 20 GROUP BY 1),
+@query("""WITH a AS (SELECT time_bucket(INTERVAL '5 minutes', ts, TIMESTAMP '1970-01-01') AS start, sum(user_id) AS total FROM events GROUP BY 1),
 g AS (SELECT unnest(generate_series((SELECT min(start) FROM a), (SELECT max(start) FROM a), INTERVAL '5 minutes')) AS start)
 SELECT start, start + INTERVAL '5 minutes' AS "end", CAST(coalesce(total, 0) AS BIGINT) AS total FROM g LEFT JOIN a USING (start)""")
 def tumbling_sum_dense(spark, d):
-    rows = _events(spark, d).where("user_id < 20")
-    return A.dense(A.windowed(rows, "5 minutes", total=F.sum("user_id")), "5 minutes", total=0)
+    return A.dense(A.windowed(_events(spark, d), "5 minutes", total=F.sum("user_id")), "5 minutes", total=0)
 
 
 @query(f"""SELECT start, start + INTERVAL '2 hours' AS "end", CAST(sum(user_id) AS BIGINT) AS total
@@ -324,9 +340,9 @@ def interval_join(spark, d):
     return J.interval_join(*_sides(spark, d), "2 hours")
 
 
-@query(_INTERVAL)
-def interval_join_bucketed(spark, d):
-    return J.bucketed_interval_join(*_sides(spark, d), 7200)
+@query("""SELECT a.user_id AS key, [0, 1] AS "values", b.ts AS ts FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts - INTERVAL '1 hour' AND b.ts < a.ts + INTERVAL '1 hour'""")
+def replicated_join(spark, d):
+    return J.pair(J.interval_join(*S.replicated(_events(spark, d).select("user_id", "ts"), "user_id"), "1 hour"))
 
 
 @query(_INTERVAL + " QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY b.ts, b.event_id) = 1")
@@ -425,22 +441,36 @@ def nexmark_input(spark, d):
     return A.keyed(_bids(spark, d).where(F.col("auction").isin(*_AUCTIONS)), "7 days", ["auction"], n=F.count("*")).drop("end")
 
 
+@query(f"""SELECT time_bucket(INTERVAL '28 days', start, TIMESTAMP '1970-01-01') AS start, auction, CAST(sum(n) AS BIGINT) AS n
+FROM (SELECT start + INTERVAL '7 days' - INTERVAL '1 microsecond' AS start, auction, count(*) AS n FROM {_BIDS} WHERE auction IN {_AUCTIONS} GROUP BY ALL) GROUP BY ALL""")
+def nexmark_input_sums(spark, d):
+    counts = A.keyed(_bids(spark, d).where(F.col("auction").isin(*_AUCTIONS)), "7 days", ["auction"], keep_window=True, n=F.count("*"))
+    return A.keyed(counts.select(F.window_time("window").alias("at"), "auction", "n"), "28 days", ["auction"], "at", n=F.sum("n")).drop("end")
+
+
 @query(f"SELECT {_HOUR} AS start, CAST({_PACKED} AS BIGINT) AS pair, CAST(sum(event_id % 1000) AS BIGINT) AS total FROM events GROUP BY ALL")
 def netmon_rtt_sum(spark, d):
     return A.keyed(_rtt(spark, d), "1 hour", ["pair"], total=F.sum("rtt")).drop("end")
 
 
-@query(f"SELECT start, list_sort(list(m)) AS found FROM (SELECT time_bucket(INTERVAL '60 seconds', {_TS}, TIMESTAMP '1970-01-01') AS start, unnest(regexp_extract_all(text, '[0-9]{{4}}')) AS m FROM documents) GROUP BY start")
+_MINUTE = f"time_bucket(INTERVAL '60 seconds', {_TS}, TIMESTAMP '1970-01-01')"
+
+
+@query(f"SELECT start, list_sort(list(m)) AS found FROM (SELECT {_MINUTE} AS start, unnest(regexp_extract_all(text, '[0-9]{{4}}')) AS m FROM documents) GROUP BY start")
 def windowed_grep(spark, d):
-    ts = F.expr("TIMESTAMP '2024-01-01' + make_dt_interval(0, 0, 0, doc_id % 3600)")
-    rows = S.table(spark, d, "documents").select(ts.alias("ts"), F.explode(T.matches("text", "[0-9]{4}")).alias("m"))
+    rows = _timed(spark, d).select("ts", F.explode(T.matches("text", "[0-9]{4}")).alias("m"))
+    return A.windowed(rows, "60 seconds", found=A.bag("m")).drop("end")
+
+
+@query(f"SELECT start, list_sort(list(m)) AS found FROM (SELECT {_MINUTE} AS start, unnest(['http://' for x in range(0, (length(text) - length(replace(text, 'http://', ''))) // 7)]) AS m FROM documents) GROUP BY start")
+def windowed_grep_literal(spark, d):
+    rows = _timed(spark, d).select("ts", F.explode(T.literal_found("text", "http://")).alias("m"))
     return A.windowed(rows, "60 seconds", found=A.bag("m")).drop("end")
 
 
 @query(f"SELECT start, count(DISTINCT line) AS n FROM (SELECT time_bucket(INTERVAL '60 seconds', {_TS}, TIMESTAMP '1970-01-01') AS start, line FROM ({_INNER})) GROUP BY start")
 def distinct_lines(spark, d):
-    ts = F.expr("TIMESTAMP '2024-01-01' + make_dt_interval(0, 0, 0, doc_id % 3600)")
-    rows = S.table(spark, d, "documents").select(ts.alias("ts"), F.explode(T.inner_lines("text")).alias("line"))
+    rows = _timed(spark, d).select("ts", F.explode(T.inner_lines("text")).alias("line"))
     return A.windowed(rows, "60 seconds", n=F.countDistinct("line")).drop("end")
 
 
@@ -486,3 +516,154 @@ def lr_tolls(spark, d):
     return R.tolls(R.segment_speeds(rows), R.accidents(R.stops(rows)))
 
 
+# Reports as lines of 15 integers, of which every fifth is no position report.
+_TYPED = f"SELECT *, CASE WHEN time % 5 = 0 THEN 2 ELSE 0 END AS type FROM (SELECT {_VEHICLE} FROM events)"
+
+
+def _lines(spark, d):
+    rows = _reports(spark, d).select(F.when(F.col("time") % 5 == 0, 2).otherwise(0).alias("type"), "vid", "time", "speed", "pos")
+    fields = ["type", "time", "vid", "speed", *[F.lit(0)] * 4, "pos", F.lit(-1), *[F.lit(0)] * 5]
+    return S.vehicle_reports(rows.select(F.concat_ws(",", *fields).alias("value")))
+
+
+@query(f"SELECT CAST(vid AS INTEGER) AS vid, CAST(time AS INTEGER) AS time, CAST(speed AS INTEGER) AS speed, CAST(pos AS INTEGER) AS pos FROM ({_TYPED}) WHERE type = 0")
+def lr_position_reports(spark, d):
+    return R.position_reports(_lines(spark, d)).select("vid", "time", "speed", "pos")
+
+
+_TOLLED = f"SELECT seg, slot, reports AS toll_vehicles FROM speeds s WHERE speed_sum > 40 * reports AND NOT EXISTS (SELECT 1 FROM crash c WHERE c.seg = s.seg AND c.\"from\" < (slot + 1) * 300 AND (c.\"to\" IS NULL OR c.\"to\" > slot * 300))"
+
+
+@query(f"WITH {_CRASHES.replace(f'SELECT {_VEHICLE} FROM events', f'SELECT * FROM ({_TYPED}) WHERE type = 0')}, {_SPEEDS}, toll AS ({_TOLLED}) SELECT TIMESTAMP '1970-01-01' + to_seconds((slot + 1) * 300) AS start, seg AS key, CAST(sum(toll_vehicles) AS BIGINT) AS total FROM toll GROUP BY ALL")
+def lr_pipeline(spark, d):
+    return R.toll_sums(R.position_reports(_lines(spark, d)), "1 second").drop("end")
+
+
+# ------------------------------------------------------------------ sources
+
+
+def _number(c, n: int = 8):
+    """Little-endian bytes of a number."""
+    h = F.lpad(F.hex(F.col(c) if isinstance(c, str) else c), 16, "0")
+    return F.unhex(F.concat(*[F.substring(h, i, 2) for i in range(15, 15 - 2 * n, -2)]))
+
+
+def _padded(c, n: int):
+    return F.unhex(F.rpad(F.hex(c), 2 * n, "00"))
+
+
+_BY_KIND = "SELECT {hour} AS start, user_id % 10 AS campaign, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY ALL".format(hour=_HOUR)
+
+
+@query(_BY_KIND)
+def ysb_packed(spark, d):
+    none = F.unhex(F.lit("00" * 16))
+    campaign = F.concat(F.unhex(F.lit("00" * 8)), _number(F.col("user_id") % 10))
+    value = F.concat(none, none, campaign, _padded(F.lit("banner78"), 9), _padded("event_type", 9), _number(F.unix_millis("ts")), _number(F.lit(0x01020304), 4))
+    ads = S.ad_events(_events(spark, d).select(value.alias("value"))).where("event_type = 'view' AND ip = 16909060")
+    return A.keyed(ads.select("ts", T.low_uint64(F.col("campaign_id")).cast("long").alias("campaign")), "1 hour", ["campaign"], n=F.count("*")).drop("end")
+
+
+_LSDS = f"SELECT {_HOUR} AS start, c_mktsegment AS campaign, count(*) AS total FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'view' GROUP BY ALL"
+
+
+def _campaigns(spark, d):
+    return S.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("ad_id"), F.col("c_mktsegment").alias("campaign"))
+
+
+@query(_LSDS)
+def ysb_csv(spark, d):
+    line = F.concat_ws(",", F.unix_millis("ts"), F.lit("a-b"), F.lit("c-d"), F.concat_ws("-", F.lit(""), "user_id", F.lit("")), F.lit("banner78"), "event_type", F.lit("1.2.3.4"))
+    ads = S.ad_csv(_events(spark, d).select(line.alias("value"))).where("num_event_type = 2 AND user_id = 'ab'")
+    rows = J.lookup_join(ads.select(F.timestamp_millis(F.col("timestamp").cast("long")).alias("ts"), "ad_id"), _campaigns(spark, d), "ad_id")
+    return A.keyed(rows, "1 hour", ["campaign"], total=F.sum(F.lit(1))).drop("end")
+
+
+@query("SELECT c_mktsegment AS campaign, count(*) AS total FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'view' GROUP BY ALL")
+def ysb_packed_texts(spark, d):
+    ids = [_padded(F.lit("ab"), 36), _padded(F.lit("cd"), 36), _padded(F.col("user_id").cast("string"), 36)]
+    value = F.concat(*ids, _padded(F.lit("banner78"), 16), _padded("event_type", 8), _number(F.lit(0x01020304), 4))
+    ads = S.ad_texts(_events(spark, d).select(value.alias("value"))).where("num_event_type = 2 AND page_id = 'cd' AND ip = 16909060")
+    return J.lookup_join(ads.select("ad_id"), _campaigns(spark, d), "ad_id").groupBy("campaign").agg(F.count("*").alias("total"))
+
+
+@query(f"SELECT l_partkey AS auction, l_suppkey AS bidder, {_CENTS} AS price, l_orderkey AS \"dateTime\" FROM lineitem")
+def nexmark_packed(spark, d):
+    cols = ["l_partkey", "l_suppkey", F.expr(_CENTS), "l_orderkey"]
+    return S.bids(S.table(spark, d, "lineitem").select(F.concat(*[_number(c) for c in cols]).alias("value")))
+
+
+@query("SELECT TIMESTAMP '2002-01-10' + to_milliseconds((event_id // 1000) * 1500 + ((event_id % 1000) * 10 // 1000) * 100) AS ts, count(*) AS n FROM events GROUP BY ALL")
+def replay_times(spark, d):
+    return S.epoch_times(_events(spark, d).select("event_id"), "event_id", 1000, 10, 1000, "2002-01-10", 500).groupBy("ts").agg(F.count("*").alias("n"))
+
+
+@query("SELECT TIMESTAMP '2002-01-10' + to_seconds(3 * ((i // 1024) // 3)) AS start, CAST(sum(i) AS BIGINT) AS total FROM range(10240) t(i) GROUP BY ALL")
+def counter_sums(spark, d):
+    return A.windowed(S.counter(spark, 10240), "3 seconds", total=F.sum("value")).drop("end")
+
+
+@query("SELECT ['view', 'click', 'purchase'][i % 3 + 1] AS event_type, 'banner78' AS ad_type, count(*) AS n FROM range(10000) t(i) GROUP BY ALL")
+def generated_kinds(spark, d):
+    return S.generated_ads(spark, 10000).groupBy("event_type", "ad_type").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ user functions, topology
+
+
+@query("SELECT event_type, CAST(sum(user_id) AS BIGINT) AS total FROM events GROUP BY ALL")
+def udaf_fold(spark, d):
+    class Sum(A.Fold):
+        def zero(self):
+            return 0
+
+        def add(self, state, values):
+            return state + int(values.sum())
+
+        def merge(self, a, b):
+            return a + b
+
+    return A.fold(_events(spark, d).select("event_type", "user_id"), Sum(), ["event_type"], "user_id", "total", "long")
+
+
+@query(f"SELECT {_bucket('1 day')} AS start, user_id AS key, CAST(max(event_id) - min(event_id) AS BIGINT) AS spread FROM events GROUP BY ALL")
+def keyed_reduce(spark, d):
+    spread = A.reducer("long")(_spread)
+    return A.keyed(_events(spark, d).select("ts", F.col("user_id").alias("key"), "event_id"), "1 day", ["key"], spread=spread("event_id")).drop("end")
+
+
+def _spread(values: pd.Series) -> int:
+    return int(values.max() - values.min())
+
+
+@query("SELECT event_id, user_id FROM events")
+def identity(spark, d):
+    return U.identity(_events(spark, d).select("event_id", "user_id"))
+
+
+@query("SELECT event_type, user_id % 2 AS shard, count(*) AS n FROM events GROUP BY ALL")
+def shard_counts(spark, d):
+    return _events(spark, d).groupBy("event_type", F.pmod("user_id", F.lit(2)).alias("shard")).agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ streams
+
+
+def _streamed(spark, df: DataFrame) -> DataFrame:
+    return G.collected(df, scratch(spark), scratch(spark))
+
+
+_CLOSED = "(SELECT max(ts) FROM events)"
+
+
+@query(f"SELECT {_HOUR} AS start, {_HOUR} + INTERVAL '1 hour' AS \"end\", user_id % 10 AS campaign, count(*) AS n, count_if(event_type = 'view') AS views FROM events GROUP BY 1, 2, 3 HAVING {_HOUR} + INTERVAL '1 hour' <= {_CLOSED}")
+def stream_tumbling(spark, d):
+    rows = G.watermarked(S.table(spark, d, "events", stream=True))
+    return _streamed(spark, A.keyed(rows, "1 hour", [(F.col("user_id") % 10).alias("campaign")], n=F.count("*"), views=F.count_if(F.col("event_type") == "view")))
+
+
+@query(f"""SELECT start, start + INTERVAL '2 hours' AS "end", CAST(sum(user_id) AS BIGINT) AS total
+FROM (SELECT user_id, unnest([{_HOUR}, {_HOUR} - INTERVAL '1 hour']) AS start FROM events) GROUP BY start HAVING start + INTERVAL '2 hours' <= {_CLOSED}""")
+def stream_sliding(spark, d):
+    rows = G.watermarked(S.table(spark, d, "events", stream=True))
+    return _streamed(spark, A.sliding_sum(rows, "user_id", 2, "1 hour"))
