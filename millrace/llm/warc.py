@@ -3,41 +3,70 @@
 Each response (record id, target URI, date, HTTP header block, payload) gives two
 records that refer to it: ``metadata`` (source headers and digests as fields) and
 ``conversion`` (the payload's plain text). Ids are URNs derived from the response's id,
-so reruns agree. Blocks and payloads have SHA-256 digests.
+so reruns agree. Blocks and payloads have SHA-256 digests. ``read_responses`` reads
+responses of WARC files, ``write`` writes records into such files.
 
-Text: comments, scripts, styles and the head go, block ends and breaks become line
-feeds, other tags blanks, the named entities of ``ENTITIES`` their characters; blanks
-collapse and blank lines go.
+Text: comments, scripts, styles and the head go (a comment, script or style without its
+end reaches to the end of the page, so each is looked at once); block ends and breaks
+become line feeds, other tags blanks, where a tag is a ``<`` before a letter, ``/``, ``!``
+or ``?``; character references become their characters; blanks collapse and blank lines
+go. References are decoded once and must end with a semicolon: the 252 names of HTML 4
+and decimal or hexadecimal numbers of characters. Others stay as they are. A no-break
+space is a blank.
 
 Defined cases: a null payload is empty, a null URI, id or date is left out of the header;
 repeated rows give repeated records; other columns are ignored; an empty table gives an
-empty result. No shuffle: a record is made from its response's row alone.
+empty result. No shuffle: a record is made from its response's row alone. In files a
+record is what lies between two lines ``WARC/1.1``, so a payload that holds such a line is cut
+there; payloads are read as UTF-8.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from html.entities import name2codepoint
+from itertools import chain
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NAMESPACE = "millrace"
 #: (pattern, replacement) in order; RE2 and Java read them alike.
 STEPS = [
-    (r"(?is)<!--.*?-->|<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<head(?:\s[^>]*)?>.*?</head\s*>", " "),
-    (r"(?i)</?(p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|aside|pre|blockquote|br)(/|[ \t\n][^>]*)?>", "\n"),
-    (r"<[^>]*>", " "),
+    (r"(?is)<!--.*?(-->|\z)|<script[^>]*>.*?(</script[^>]*>|\z)|<style[^>]*>.*?(</style[^>]*>|\z)|<head(\s[^>]*)?>.*?(</head\s*>|<body[^>]*>)", " "),
+    (r"(?i)</?(p|div|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|caption|article|section|nav|header|footer|main|aside|figure|figcaption|form|fieldset|address|details|summary|pre|blockquote|hr|br)(/|[ \t\r\n][^>]*)?>", "\n"),
+    (r"<[A-Za-z/!?][^>]*>", " "),
 ]
-#: The SQL's first step is as given: it takes ``<header`` for the head too, so it tells nothing about pages with one.
-SQL_STEPS = [(r"(?is)<!--.*?-->|<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<head[^>]*>.*?</head[^>]*>", " "), *STEPS[1:]]
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 TIDY = [(r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
+REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
+NAMES = {name: chr(code) for name, code in sorted(name2codepoint.items())}
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; null for what is none."""
+    fits = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def decoded(text: Column) -> Column:
+    """Character references as their characters."""
+    names = F.create_map(*[F.lit(x) for x in chain.from_iterable(NAMES.items())])
+
+    def piece(p: Column, i: Column) -> Column:
+        ref = F.regexp_extract(p, REFERENCE, 1)
+        code = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(F.substring(ref, 3, 6), 16, 10)).otherwise(F.substring(ref, 2, 7)).try_cast("long")
+        char = F.when(F.substring(ref, 1, 1) == "#", _character(code)).otherwise(names[ref])
+        after = F.substring(p, F.length(ref) + 2, F.length(p))
+        return F.when(i == 0, p).when((ref != "") & char.isNotNull(), F.concat(char, after)).otherwise(F.concat(F.lit("&"), p))
+
+    whole = F.array_join(F.transform(F.split(text, "&", -1), piece), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
     out = F.coalesce(html, F.lit(""))
     for pattern, to in STEPS:
         out = F.regexp_replace(out, pattern, to)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
+    out = F.translate(decoded(out), "\u00a0", " ")
     for pattern, to in TIDY:
         out = F.regexp_replace(out, pattern, to)
     return out
@@ -88,6 +117,26 @@ def derivatives(resp: DataFrame) -> DataFrame:
     return rows.withColumn("record", whole)
 
 
+def read_responses(spark: SparkSession, path: str, version: str = "1.1") -> DataFrame:
+    """Response records (record_id, target_uri, date, http_header, payload) of uncompressed WARC files of a version, read split by split. Other records go."""
+    rows = spark.read.option("lineSep", f"WARC/{version}\r\n").text(path).where("value <> ''")
+    cut = F.instr("value", "\r\n\r\n")
+    head, body = F.expr("substring(value, 1, instr(value, '\\r\\n\\r\\n') + 1)"), F.substring(F.col("value"), cut + 4, F.length("value"))
+    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+    told = rows.select(head.alias("head"), F.regexp_replace(body, r"\r\n\r\n\z", "").alias("block")).where(F.lower(field("WARC-Type")) == "response")
+    split = F.instr("block", "\r\n\r\n")
+    return told.select(
+        field("WARC-Record-ID").alias("record_id"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("date"),
+        F.when(split > 0, F.substring(F.col("block"), F.lit(1), split + 3)).otherwise(F.col("block")).alias("http_header"),
+        F.when(split > 0, F.substring(F.col("block"), split + 4, F.length("block"))).otherwise("").alias("payload"),
+    )
+
+
+def write(records: DataFrame, path: str, column: str = "record") -> None:
+    """Records into uncompressed WARC files, one after another."""
+    records.select(F.regexp_replace(column, r"\r\n\z", "").alias("value")).write.option("lineSep", "\r\n").text(path)
+
+
 def digests(pages: DataFrame) -> DataFrame:
     """The records of all pages with their digests and lengths in place of their bodies."""
     return derivatives(responses(pages)).select("page_id", "type", "record_id", "refers_to", "target_uri", F.length("block").cast("long").alias("block_chars"), "block_digest", F.sha2("record", 256).alias("record_sha256"))
@@ -97,12 +146,15 @@ def digests_sql() -> str:
     """The same in DuckDB's SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     text = "coalesce(html, '')"
-    for pattern, to in SQL_STEPS:
+    for pattern, to in STEPS:
         text = f"regexp_replace({text}, {quote(pattern)}, {quote(to)}, 'g')"
-    for name, char in ENTITIES:
-        text = f"replace({text}, {quote(name)}, {quote(char)})"
+    names = "MAP {" + ", ".join(f"{quote(n)}: chr({ord(c)})" for n, c in NAMES.items()) + "}"
+    code = "CASE WHEN lower(r[2]) = 'x' THEN CAST('0x' || r[3:] AS BIGINT) ELSE CAST(r[2:] AS BIGINT) END"
+    char = f"CASE WHEN r[1] <> '#' THEN (SELECT m FROM names)[r] WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr(CAST({code} AS INTEGER)) END"
+    decode = f"(SELECT string_agg(CASE WHEN i = 1 THEN p WHEN r <> '' AND c IS NOT NULL THEN c || p[length(r) + 2:] ELSE '&' || p END, '' ORDER BY i) FROM (SELECT i, p, r, {char} AS c FROM (SELECT i, p, regexp_extract(p, {quote(REFERENCE)}, 1) AS r FROM (SELECT unnest(s) AS p, unnest(range(1, len(s) + 1)) AS i))))"
+    tidy = "replace(d, chr(160), ' ')"
     for pattern, to in TIDY:
-        text = f"regexp_replace({text}, {quote(pattern)}, {quote(to)}, 'g')"
+        tidy = f"regexp_replace({tidy}, {quote(pattern)}, {quote(to)}, 'g')"
     crlf = "chr(13) || chr(10)"
 
     def urn_(*parts):
@@ -113,11 +165,17 @@ def digests_sql() -> str:
         return f"coalesce('{name}: ' || {value} || {crlf}, '')"
 
     return f"""
-WITH resp AS (
+WITH names AS (
+  SELECT {names} AS m
+), cut AS (
+  SELECT *, string_split({text}, '&') AS s FROM pages
+), told AS (
+  SELECT page_id, url, html, {decode} AS d FROM cut
+), resp AS (
   SELECT CAST(page_id AS BIGINT) AS page_id, {urn_("'response'", "CAST(page_id AS VARCHAR)", "url")} AS record_id, url AS target_uri, '2024-01-01T00:00:00Z' AS date,
          'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(coalesce(html, '')) || {crlf} || {crlf} AS http_header,
-         coalesce(html, '') AS payload, {text} AS text
-  FROM pages
+         coalesce(html, '') AS payload, {tidy} AS text
+  FROM told
 ), named AS (
   SELECT *, {urn_("'metadata'", "record_id")} AS meta_id, {urn_("'conversion'", "record_id")} AS conv_id FROM resp
 ), rows AS (

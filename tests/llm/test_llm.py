@@ -514,6 +514,49 @@ def test_warc_keeps_headers(spark):
     assert [r.block for r in rows if r.type == "conversion"] == ["Headline\nx\ny"]
 
 
+def text_of(spark, *pages):
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.block for r in warc.derivatives(warc.responses(df)).where("type = 'conversion'").orderBy("page_id").collect()]
+
+
+def test_warc_references(spark):
+    import html
+
+    texts = ["&#8217;&copy;&mdash;&middot;", "a&nbsp;b &lt;p&gt; &amp;lt; &amp;amp;", "&#x1F600;&#128512;&#xE9;", "&eacute;&Eacute;&hearts;", "x &y; & z &", "&;&#;&#x;&#xZZ;&noname;", "&" * 50, "a&amp", "&#0;&#55296;&#1114112;&#x110000;", "&amp;#65;&#38;#65;"]
+    want = [html.unescape(t).replace("\u00a0", " ").strip() for t in texts[:4]] + ["x &y; & z &", "&;&#;&#x;&#xZZ;&noname;", "&" * 50, "a&amp", "&#0;&#55296;&#1114112;&#x110000;", "&#65;&#65;"]
+    assert text_of(spark, *texts) == want
+    assert len(warc.NAMES) == 252
+
+
+def test_warc_tags(spark):
+    got = text_of(spark, "if 1 < 2 and 3 > 2 then<br/>x <3 y<!doctype html>z<?xml a?>", "a<!-- b <p>c", "a<script>b</style>c", "<p>a</p><style>b</style ><td>c</td><td>d</td><section\tid=1>e</section>", "<a href='x'>k</a>&<b>l</b>", "")
+    assert got == ["if 1 < 2 and 3 > 2 then\nx <3 y z", "a", "a", "a\nc d\ne", "k & l", ""]
+
+
+def test_warc_long_pages_and_repeated_rows(spark):
+    import time
+
+    began = time.time()
+    long = ["<!-- a " * 200_000, "<script>" * 200_000, "<p>x</p>" * 100_000, "<" * 500_000, "&amp;" * 100_000]
+    got = text_of(spark, *long)
+    assert got == ["", "", "\n".join(["x"] * 100_000), "<" * 500_000, "&" * 100_000] and time.time() - began < 120
+    twice = warc.digests(spark.createDataFrame([(1, "u", "x")] * 2 + [(None, None, None)], "page_id long, url string, html string").withColumn("Text", F.lit(1)).withColumn("record_id", F.lit(2))).collect()
+    assert len(twice) == 6 and len(set(map(tuple, twice))) == 4
+    assert warc.digests(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_warc_files(spark, tmp_path):
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    rec = lambda kind, i, block: f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{i}>\r\nWARC-Target-URI: http://{i}/\r\nWARC-Date: 2024-01-0{i}\r\nContent-Length: {len(block)}\r\n\r\n{block}\r\n\r\n"
+    (tmp_path / "a.warc").write_text(rec("warcinfo", 1, "x: y") + rec("response", 2, http + "<p>é\r\n\r\nb</p>\r\n") + rec("response", 3, http) + rec("response", 4, "no header"), newline="")
+    got = warc.read_responses(spark, str(tmp_path / "a.warc")).orderBy("record_id").collect()
+    assert [tuple(r) for r in got] == [("<urn:2>", "http://2/", "2024-01-02", http, "<p>é\r\n\r\nb</p>\r\n"), ("<urn:3>", "http://3/", "2024-01-03", http, ""), ("<urn:4>", "http://4/", "2024-01-04", "no header", "")]
+    made = warc.derivatives(warc.read_responses(spark, str(tmp_path / "a.warc")).withColumn("page_id", F.lit(1).cast("long")))
+    warc.write(made, str(tmp_path / "out"))
+    again = spark.read.option("lineSep", "WARC/1.1\r\n").text(str(tmp_path / "out")).where("value <> ''")
+    assert sorted("WARC/1.1\r\n" + r.value for r in again.collect()) == sorted(r.record for r in made.collect())
+
+
 @pytest.mark.parametrize("run", [simhash.near_duplicates, simhash.similar, substring.dedup, mixing.mix, mixing.mixed, licenses.scan, lambda d: quality.rules(d, *VOCABULARIES), lambda d: bpe.digests(d, RANKS, P.PATTERN), lambda d: packing.pack(d, RANKS, P.PATTERN)])
 def test_empty_and_null_tables(spark, run):
     assert run(docs(spark, [])).count() == 0
