@@ -5,12 +5,15 @@ A fingerprint's coordinates are its Hamming distances to fixed reference fingerp
 differ by at most ``bits`` in every coordinate, so a pair with a larger maximum
 coordinate difference is discarded before its exact distance is taken.
 
-Which pairs are looked at: random pivots alone leave about half of all pairs a pivot,
-which is no partitioning. So 64 bits are cut into ``bits + 3`` blocks; two fingerprints
-within ``bits`` agree wholly in some 3 of them, and only fingerprints that agree in 3
-given blocks (about 32 bits) meet. Equal fingerprints are one class beforehand. A
-crowded bucket is dealt to pairs of chunks, each a group of its own, and a group gives
-a spanning forest of its links, never all of them.
+Which pairs are looked at: random pivots leave about half of all pairs each, so cells of
+quantised coordinates would send a row to 1.75 cells a pivot for 0.6 of the rows each: more
+copies than pairs of chunks, whatever their number. So 64 bits are cut into ``bits + 3``
+blocks; two fingerprints within ``bits`` agree wholly in some 3 of them, and only
+fingerprints that agree in 3 given blocks (about 32 bits) meet. A bucket is sorted by the
+first coordinate, and a row paired with those within ``bits`` of its own only; the other
+coordinates discard more. Equal fingerprints are one class beforehand. A crowded bucket is
+dealt to pairs of chunks, each a group of its own, and a group gives a spanning forest of
+its links, never all of them.
 
 ``similar`` is for a similarity instead of a number of bits (five words and a Jaccard
 similarity of 0.8 unless told otherwise). Such texts differ by so many bits (19 of 128 at
@@ -87,37 +90,45 @@ def masks(bits: int) -> list[int]:
     return [signed(x | y | z) for x, y, z in combinations(blocks, 3)]
 
 
-def near(fp: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the pairs i-j within ``bits``: pivot coordinates first, then the exact distance."""
-    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
-    for p in range(len(PIVOTS)):
-        if not len(i):
-            break
-        fits = np.abs(table[i, p] - table[j, p]) <= bits
-        i, j = i[fits], j[fits]
-    fits = np.bitwise_count(fp[i] ^ fp[j]) <= bits
-    return i[fits], j[fits]
+def coordinates(fp: np.ndarray) -> np.ndarray:
+    """The distance table: a row a fingerprint, its Hamming distance to each pivot."""
+    return np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+
+
+def near(fp: np.ndarray, last: np.ndarray, table: np.ndarray, apart: np.ndarray | None, bits: int):
+    """Pairs within ``bits``, of rows in groups (``last``: where a row's group ends) sorted by the first pivot's distance.
+
+    A row is only paired with those after it whose first coordinate is at most ``bits`` more: a window of the sorted group.
+    Of these pairs the other coordinates discard more, and the exact distance decides. ``apart``: only rows that differ in it are paired.
+    """
+    found, first, i, off = [], table[:, 0], np.arange(len(fp)), 1
+    while len(i := i[i + off < last[i]]) and len(i := i[first[i + off] - first[i] <= bits]):
+        a = i if apart is None else i[apart[i] != apart[i + off]]
+        for p in range(1, len(PIVOTS)):
+            if not len(a):
+                break
+            a = a[np.abs(table[a, p] - table[a + off, p]) <= bits]
+        a = a[np.bitwise_count(fp[a] ^ fp[a + off]) <= bits]
+        found.append((a, a + off))
+        off += 1
+    return (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
 def _forest(bits: int):
     def links(table: pa.Table) -> pa.RecordBatch:
-        col = lambda k: table[k].to_numpy()
-        fp, n = col("fp").view(np.uint64), table.num_rows
-        edge = np.ones(n, bool)
-        edge[1:] = (col("t")[1:] != col("t")[:-1]) | (col("k")[1:] != col("k")[:-1]) | (col("lo")[1:] != col("lo")[:-1]) | (col("hi")[1:] != col("hi")[:-1])
+        col = {c: table[c].to_numpy() for c in ("t", "k", "lo", "hi", "c", "fp")}
+        edge = np.ones(table.num_rows, bool)
+        edge[1:] = False
+        for c in ("t", "k", "lo", "hi"):
+            edge[1:] |= col[c][1:] != col[c][:-1]
         group = np.cumsum(edge) - 1
+        fp = col["fp"].view(np.uint64)
+        order = np.lexsort((np.bitwise_count(fp ^ PIVOTS[0]), group))
+        fp, n = fp[order], table.num_rows
         last = np.append(np.flatnonzero(edge)[1:], n)[group]
-        across = col("lo") != col("hi")
-        chunk = col("c")
-        found, i, off = [], np.arange(n), 1
-        while len(i := i[i + off < last[i]]):
-            j = i + off
-            use = ~across[i] | (chunk[i] != chunk[j])
-            a, b = near(fp, i[use], j[use], bits) if use.any() else (i[:0], i[:0])
-            found.append((a, b))
-            off += 1
-        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
-        top = roots(n, a, b)
+        # Rows of one chunk are all paired; of a pair of chunks, only rows of different ones.
+        chunk = np.where(col["lo"] != col["hi"], col["c"], np.arange(n))[order]
+        top = roots(n, *near(fp, last, coordinates(fp), chunk, bits))
         at = np.flatnonzero(top != np.arange(n))
         return pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(fp[top[at]].view(np.int64))], names=["a", "b"])
 

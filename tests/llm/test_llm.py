@@ -51,6 +51,33 @@ def brute_components(linked):
         label = new
 
 
+def slow_fingerprint(text):
+    """From the contract alone."""
+    import xxhash
+
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    votes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in votes) > len(votes))
+
+
+def test_fingerprints_are_the_contracts(spark):
+    texts = corpus(30) + ["a", "A b", "A B c", "a\x0bb\x0cc d", "É é À\u00a0x y z", "a b c a b c", "\x1ca b", "İ I i", "a b"]
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, texts)).select("doc_id", simhash.hex16(F.col("fp")).alias("fp")).collect()}
+    assert [got[i].fp for i in range(len(texts))] == [f"{slow_fingerprint(t):016x}" for t in texts]
+
+
+def test_pivots_discard_no_link():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fp = np.unique(base[rng.integers(0, 40, 600)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (600, 2), dtype=np.uint64), axis=1))
+    fp = fp[np.argsort(np.bitwise_count(fp ^ simhash.PIVOTS[0]), kind="stable")]
+    i, j = simhash.near(fp, np.full(len(fp), len(fp)), simhash.coordinates(fp), None, 3)
+    want = {(a, b) for a in range(len(fp)) for b in range(a + 1, len(fp)) if int(fp[a] ^ fp[b]).bit_count() <= 3}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(want) > 100
+
+
 def test_simhash(spark):
     texts = corpus()
     base = texts[1].split()
@@ -104,6 +131,25 @@ def test_similar_groups_in_chunks(spark):
     assert {r.component_id for r in got} == {0} and len(got) == 700
 
 
+def test_similar_is_brute_force_on_a_crowd(spark):
+    """Texts about one template at similarities on both sides of 0.8, in buckets of many chunks."""
+    rng = random.Random(10)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for k in range(260):
+        words = list(base)
+        for p in rng.sample(range(0, 150, 5), rng.choice([1, 2, 3, 5, 8])):
+            words[p] = f"x{k}y{p}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    linked = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    want = brute_components(linked)
+    assert 3 < len(set(want.tolist())) < 200
+    for chunk in (8, 50, 1000):
+        got = {r.doc_id: r.component_id for r in simhash.similar(docs(spark, texts), chunk=chunk).collect()}
+        assert [got[i] for i in range(260)] == want.tolist(), chunk
+
+
 def changed(words, places, tag):
     out = list(words)
     for p in places:
@@ -580,3 +626,60 @@ def test_pipeline(spark, tmp_path):
     for d, (n, gone, sha) in brute_substring(rows).items():
         assert new[d].text == dict(rows)[d] if not gone else hashlib.sha256(new[d].text.encode()).hexdigest() == sha
         assert new[d].n_chars == len(new[d].text)
+
+
+CLASHING = ["h", "H1", "fp", "shard", "rep", "rid", "comp", "copies", "k", "c", "s", "n", "digest", "canonical", "license", "node", "component", "size", "to", "f0", "low", "high", "copy", "kept", "label", "d", "tile", "part"]
+WHOLE_TABLE = {
+    "op1": simhash.near_duplicates, "similar": simhash.similar, "op3": licenses.scan, "op4": lambda d: packing.pack(d.coalesce(1), RANKS, P.PATTERN), "op6": lambda d: bpe.digests(d, RANKS, P.PATTERN),
+    "op7": mixing.mix, "op8": substring.dedup, "op9": lambda d: quality.rules(d, *VOCABULARIES),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE_TABLE)
+def test_odd_tables(spark, name):
+    """Nulls anywhere, long and empty texts, repeated rows, other columns of any name: the same result as without these columns, and repeated rows alike."""
+    rng = random.Random(7)
+    long = " ".join(rng.choices([f"w{i}" for i in range(5000)], k=100_000))
+    rows = [(1, long, "en", "a"), (2, long + " more", "en", None), (3, None, None, "a"), (3, None, None, "a"), (None, "a b c", "de", "b"), (None, None, None, None), (4, "", "", ""), (5, "x" * 300_000, "fr", "b"), (6, CLEAN, "en", "a"), (6, CLEAN, "en", "a"), (6, CLEAN + "!", None, "a"), (7, " \n\t" * 1000, "xx", "c"), (8, licenses._MIT, "en", "c"), (8, licenses._MIT, "en", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    run = WHOLE_TABLE[name]
+    plain = sorted(map(repr, run(df).collect()))
+    assert sorted(map(repr, run(df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])).collect())) == plain
+    assert run(df.limit(0)).count() == 0
+    if name not in ("op4", "similar"):
+        assert len(plain) == len(rows)
+        seen = [p for p in plain if "doc_id=8" in p]
+        assert len(seen) == 2 and (name == "op7" or len(set(seen)) == 1)
+
+
+def test_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (None, [1.0, 0.0], 1), (None, None, None), (3, [0.0] * 5000 + [1.0], 2), (4, [0.0] * 5000 + [2.0], 2), (5, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(repr, embedding.near_duplicates(df).collect()))
+    again = embedding.near_duplicates(df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING) if c != "label"])).collect()
+    assert sorted(map(repr, again)) == got and len(got) == len(rows)
+    by = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in again]
+    assert by.count((1, 3, 1, True)) == 2 and (2, 3, 1, False) in by and (None, 3, 1, False) in by and (None, 0, None, False) in by and (5, 0, 5, True) in by and (4, 1, 3, False) in by
+    assert embedding.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_licenses_near_misses(spark):
+    """Every known text is found whole, and not with a word changed, taken away or added: against a plain dictionary of digests."""
+    known = {}
+    plain = lambda t: spark.range(1).select(licenses.canonical(F.lit(t))).first()[0]
+    forms = [r[0] for r in spark.createDataFrame([(t,) for _, t in licenses.KNOWN], "t string").select(licenses.canonical(F.col("t"))).collect()]
+    for (name, _), form in zip(licenses.KNOWN, forms):
+        known[form] = min(name, known.get(form, name))
+    texts = []
+    for _, t in licenses.KNOWN:
+        words = t.split()
+        mid = len(words) // 2
+        texts += [t, t.swapcase(), "  " + t.replace("\n", "\r\n") + "\n\n", " ".join(words[:mid] + ["qzx"] + words[mid:]), " ".join(words[:mid] + words[mid + 1 :]), " ".join(words[:-1] + ["qzx"]), t + " qzx"]
+    got = {r.doc_id: r.license for r in licenses.scan(docs(spark, texts)).collect()}
+    canon = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(licenses.canonical(F.col("t"))).collect()]
+    assert [got[i] for i in range(len(texts))] == [known.get(c) for c in canon]
+    for i, (name, t) in enumerate(licenses.KNOWN):
+        a = [got[7 * i + j] for j in range(7)]
+        assert a[:3] == [known[forms[i]]] * 3 and a[3:] == [None] * 4, name
+    own = licenses.scan(docs(spark, ["My own licence, line\nby line."]), [("Own-1.0", "my own LICENSE line by line")]).first()
+    assert own.license == "Own-1.0" and plain("a") == "a"
