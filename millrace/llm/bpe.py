@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import sole, tune
 
 MEMO_WORDS, MEMO_CHARS, MEMO_PAIRS = 250_000, 48, 500_000
-_NONE, _STOPS = 1 << 40, frozenset(".,;:!?")
+_NONE = 1 << 40
 #: Fixed value: the pattern under which a match holds a space only at its beginning or in a run of white space, and takes a whole run of letters.
 CUT_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -58,16 +58,33 @@ class _Halves(dict):
         return got
 
 
+_TAILED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)").fullmatch
+
+
 class _Memo(dict):
-    """What ``make`` gives of the ids of a word after a space. When it is full, the words of the last generation that come again are kept."""
+    """What ``make`` gives of the ids of a word after ``before``, a space or nothing.
+
+    Letters and then ASCII punctuation are two pieces, and words around a line feed three, of which most have been seen:
+    what they gave is put together by ``add``. When the memo is full, the words of the last generation that come again are kept.
+    """
 
-    def __init__(self, codec: Codec, make):
-        self.codec, self.make, self.old = codec, make, {}
+    def __init__(self, codec: Codec, before: str, make, add, bare: _Memo | None = None):
+        self.codec, self.before, self.make, self.add, self.bare, self.old = codec, before, make, add, self if bare is None else bare, {}
+
+    def _new(self, word: str):
+        parts = _TAILED(word)
+        if parts and max(parts[1]) < "\u0250":
+            return self.add(self[parts[1]], self.bare[parts[2]])
+        if word.count("\n") == 1:
+            one, two = word.split("\n")
+            if one and two and not one[-1].isspace() and not two[0].isspace():
+                return self.add(self.add(self[one], self.bare["\n"]), self.bare[two])
+        return self.make(self.codec.chunk(self.before + word))
 
     def __missing__(self, word: str):
         got = self.old.get(word)
         if got is None:
-            got = self.make(self.codec.chunk(" " + word))
+            got = self._new(word)
             if len(word) > MEMO_CHARS:
                 return got
         if len(self) >= MEMO_WORDS:
@@ -77,6 +94,10 @@ class _Memo(dict):
         return got
 
 
+def _tell_both(a: tuple[int, str, bytes], b: tuple[int, str, bytes]) -> tuple[int, str, bytes]:
+    return a[0] + b[0], f"{a[1]} {b[1]}", a[2] + b[2]
+
+
 class Codec:
     """Encoder and decoder of one rank file. Only under ``CUT_AT_SPACES`` are texts cut at spaces before the pattern sees them."""
 
@@ -86,8 +107,10 @@ class Codec:
         self.name = {i: str(i) for i in self.token}
         self.length = {i: len(t) for i, t in self.token.items()}
         self.ranks, self.pairs_ok = ranks, {}
-        self.memo = _Memo(self, tuple)
-        self.told = _Memo(self, self._told)
+        self.bare_memo = _Memo(self, "", tuple, tuple.__add__)
+        self.memo = _Memo(self, " ", tuple, tuple.__add__, self.bare_memo)
+        self.bare_told = _Memo(self, "", self._told, _tell_both)
+        self.told = _Memo(self, " ", self._told, _tell_both, self.bare_told)
         self.halves = _Halves(self)
         self.latin = {t.decode("latin-1"): i for t, i in ranks.items()}
         self.shorter: dict[int, int | None] = {}
@@ -198,12 +221,7 @@ class Codec:
                 token = shorter[token]
 
     def chunk(self, text: str) -> list[int]:
-        if text[1:].isalpha() and text[0] == " " and max(text) < "\u0250":
-            pieces = (text,)
-        elif text[-1:] in _STOPS and text[1:-1].isalpha() and text[0] == " " and max(text) < "\u0250":
-            pieces = text[:-1], text[-1]
-        else:
-            pieces = self.split(text)
+        pieces = (text,) if text[1:].isalpha() and text[0] == " " and max(text) < "\u0250" else self.split(text)
         if len(pieces) == 1 and text.isascii():
             return self.joined(text)
         out = []
@@ -219,7 +237,7 @@ class Codec:
         if not self.at_spaces:
             return list(chain.from_iterable([self.joined(p.encode().decode("latin-1")) for p in self.split(text)]))
         head, *rest = self.words(text)
-        return self.chunk(head) + list(chain.from_iterable(map(self.memo.__getitem__, rest)))
+        return list(chain(self.bare_memo[head], *map(self.memo.__getitem__, rest)))
 
     def _told(self, ids: list[int]) -> tuple[int, str, bytes]:
         return len(ids), " ".join(map(self.name.__getitem__, ids)), self.decode(ids)
@@ -230,7 +248,7 @@ class Codec:
             ids = self.encode(text)
             return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
         head, *rest = self.words(text)
-        known = [self._told(self.chunk(head)), *map(self.told.__getitem__, rest)]
+        known = [self.bare_told[head], *map(self.told.__getitem__, rest)]
         names = " ".join([x[1] for x in known if x[0]])
         back = b"".join([x[2] for x in known])
         return sum([x[0] for x in known]), hashlib.sha256(names.encode()).hexdigest(), hashlib.sha256(back).hexdigest()

@@ -290,6 +290,8 @@ def test_bpe_is_tiktokens(spark):
     same = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     rng = random.Random(2)
     texts = ["", " ", "a  b", "a\n \nb", "a \n b\t\tc  ", "don't 'S 12345", "日本語テキスト 🎉👩‍👩‍👧", "aaaa" * 300, "<|endoftext|>", "a\x1c b\xa0 c\u3000d"]
+    alphabet = ["a", "bc", "É", "é", "ª", "ʰ", "ɐ", "ж", "7", ".", "'", "'s", "_", "%%", "-", "\n", "\n\n", " ", "  ", "\x0b", "\x1c", "\u2028", "\xa0", "word", "'t,"]
+    texts += ["".join(rng.choices(alphabet, k=400)) for _ in range(60)] + [" ".join("".join(rng.choices(alphabet, k=4)) for _ in range(200)) for _ in range(40)] + ["a\nb" * 3000, "a" * 5000 + ".\n"]
     texts += ["".join(chr(rng.randrange(1, 0xD7FF)) for _ in range(400)) for _ in range(20)] + ["".join(rng.choice("abcdeABC \n'1.") for _ in range(3000)) for _ in range(20)]
     for t in texts:
         want = same.encode_ordinary(t)
