@@ -29,16 +29,21 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import fresh
+
 NAMESPACE = "millrace"
 #: (pattern, replacement) in order; RE2 and Java read them alike.
 STEPS = [
-    (r"(?is)<!--.*?(-->|\z)|<script[^>]*>.*?(</script[^>]*>|\z)|<style[^>]*>.*?(</style[^>]*>|\z)|<head(\s[^>]*)?>.*?(</head\s*>|<body[^>]*>)", " "),
-    (r"(?i)</?(p|div|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|caption|article|section|nav|header|footer|main|aside|figure|figcaption|form|fieldset|address|details|summary|pre|blockquote|hr|br)(/|[ \t\r\n][^>]*)?>", "\n"),
+    (r"(?is)<(?:!--.*?(?:-->|\z)|script[^>]*>.*?(?:</script[^>]*>|\z)|style[^>]*>.*?(?:</style[^>]*>|\z)|head(?:\s[^>]*)?>.*?(?:</head\s*>|<body[^>]*>))", " "),
+    (r"(?i)</?(?:p|div|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|caption|article|section|nav|header|footer|main|aside|figure|figcaption|form|fieldset|address|details|summary|pre|blockquote|hr|br)(?:/|[ \t\r\n][^>]*)?>", "\n"),
     (r"<[A-Za-z/!?][^>]*>", " "),
 ]
-TIDY = [(r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
+TIDY = [(r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n")]
 REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
 NAMES = {name: chr(code) for name, code in sorted(name2codepoint.items())}
+#: Replaced first, as none of their characters can be part of a reference; what is then left but ``&amp;`` is rare.
+COMMON = ["nbsp", "lt", "gt", "quot", "copy", "middot"]
+RARE = "&(#[0-9xX]|(?!amp;)[A-Za-z][A-Za-z0-9]{1,9};)"
 
 
 def _character(code: Column) -> Column:
@@ -58,18 +63,32 @@ def decoded(text: Column) -> Column:
         after = F.substring(p, F.length(ref) + 2, F.length(p))
         return F.when(i == 0, p).when((ref != "") & char.isNotNull(), F.concat(char, after)).otherwise(F.concat(F.lit("&"), p))
 
+    for name in COMMON:
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(NAMES[name]))
+    text = F.replace(text, F.lit("&#39;"), F.lit("'"))
     whole = F.array_join(F.transform(F.split(text, "&", -1), piece), "")
-    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+    return F.when(F.regexp_like(text, F.lit(RARE)), whole).otherwise(F.replace(text, F.lit("&amp;"), F.lit("&")))
 
 
-def plain_text(html: Column) -> Column:
+def stripped(html: Column) -> Column:
+    """The page without its tags."""
     out = F.coalesce(html, F.lit(""))
     for pattern, to in STEPS:
         out = F.regexp_replace(out, pattern, to)
-    out = F.translate(decoded(out), "\u00a0", " ")
+    return out
+
+
+def tidied(text: Column) -> Column:
+    out = F.replace(text, F.lit("\u00a0"), F.lit(" "))
     for pattern, to in TIDY:
         out = F.regexp_replace(out, pattern, to)
-    return out
+    return F.btrim(out, F.lit(" \n"))
+
+
+def with_text(rows: DataFrame, html: str, name: str = "text") -> DataFrame:
+    """Adds the plain text of a column. Each step is a column of its own, so that none is evaluated again where the next one refers to it twice."""
+    (step,) = fresh([*rows.columns, name], "step")
+    return rows.withColumn(step, stripped(F.col(html))).withColumn(step, decoded(F.col(step))).withColumn(name, tidied(F.col(step))).drop(step)
 
 
 def urn(*parts: Column) -> Column:
@@ -98,8 +117,7 @@ def record(kind: str, content_type: str) -> Column:
 
 def derivatives(resp: DataFrame) -> DataFrame:
     """(page_id, type, record_id, refers_to, target_uri, block_digest, block, record): two rows a response."""
-    text = plain_text(F.col("payload"))
-    source = resp.withColumn("text", text).withColumn("meta_id", urn(F.lit("metadata"), F.col("record_id"))).withColumn("conv_id", urn(F.lit("conversion"), F.col("record_id")))
+    source = with_text(resp.select("page_id", "record_id", "target_uri", "date", "http_header", "payload"), "payload").withColumn("meta_id", urn(F.lit("metadata"), F.col("record_id"))).withColumn("conv_id", urn(F.lit("conversion"), F.col("record_id")))
     meta = F.concat(
         _field("source-payload-digest", F.concat(F.lit("sha256:"), F.sha2("payload", 256))),
         _field("source-payload-bytes", F.octet_length("payload").cast("string")),
@@ -155,6 +173,7 @@ def digests_sql() -> str:
     tidy = "replace(d, chr(160), ' ')"
     for pattern, to in TIDY:
         tidy = f"regexp_replace({tidy}, {quote(pattern)}, {quote(to)}, 'g')"
+    tidy = f"trim({tidy}, ' ' || chr(10))"
     crlf = "chr(13) || chr(10)"
 
     def urn_(*parts):
