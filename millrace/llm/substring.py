@@ -11,9 +11,11 @@ the number of shards follows the corpus.
 2. Confirming: candidates' 128-bit window hashes (two of 64 bits from independent hashes of
    the words) with the smallest doc_id of their shard meet by hash range; each shard learns
    of smaller doc_ids elsewhere.
-3. Each shard compiles its recurring windows, each word a few characters, into an Aho-Corasick
-   automaton and streams all its texts through it to find every occurrence. A passage that
-   thousands of texts share is one row a shard throughout.
+3. Each shard compiles the anchors of its recurring windows (6 words each, every word a few
+   characters) into an Aho-Corasick automaton and streams its texts through it. Where an anchor
+   is found, the windows around it are looked up whole, word by word, among the recurring
+   ones, which finds every occurrence. A passage that thousands of texts share is one row a
+   shard throughout.
 
 Hash ranges are as many as hold ``RANGE_BYTES`` of anchors, so a shard's row for a range
 grows with the corpus until it is full, and rows grow with the anchors, not with the square of
@@ -60,13 +62,16 @@ def _windows(table: pa.Table, window: int):
     return scan, words, at, ids[scan.doc[at]] if len(at) else np.zeros(0, np.int64)
 
 
-def _anchors(words: np.ndarray, window: int, gram: int) -> np.ndarray:
+def _anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each window's anchor, and the word of the window with which it begins (the first of equal ones)."""
     low = grams(words, gram)
     n = max(0, len(words) - window + 1)
-    out = low[:n].copy()
+    out, at = low[:n].copy(), np.zeros(n, np.int8)
     for j in range(1, window - gram + 1):
-        np.minimum(out, low[j : j + n], out=out)
-    return mix_high(out)
+        less = low[j : j + n] < out
+        out[less] = low[j : j + n][less]
+        at[less] = j
+    return mix_high(out), at
 
 
 def mix_high(x: np.ndarray) -> np.ndarray:
@@ -127,7 +132,7 @@ def _send_anchors(ranges: int, window: int, gram: int):
         _, words, at, _ = _windows(table, window)
         if not len(at):
             return _empty(_SCHEMA)
-        unique = np.unique(_anchors(words, window, gram)[at])
+        unique = np.unique(_anchors(words, window, gram)[0][at])
         return _dealt(unique, unique, ranges, table["shard"][0].as_py())
 
     return each
@@ -152,7 +157,7 @@ def _send_candidates(ranges: int, window: int, gram: int):
         scan, words, at, ids = _windows(docs, window)
         if not len(at):
             return _empty(_SCHEMA)
-        anchor = _anchors(words, window, gram)[at]
+        anchor = _anchors(words, window, gram)[0][at]
         told = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in shared["body"].to_pylist()] or [np.zeros(0, np.uint64)]))
         hit = _among(anchor, told) | _among(anchor, _several(anchor, ids))
         at, ids = at[hit], ids[hit]
@@ -214,15 +219,15 @@ def codes(words: dict[bytes, str]) -> int:
 
 
 def automaton(phrases) -> ahocorasick.Automaton:
-    """An Aho-Corasick automaton over (phrase, value), phrases being strings of word codes."""
+    """An Aho-Corasick automaton over strings of word codes."""
     out = ahocorasick.Automaton()
-    for phrase, value in phrases:
-        out.add_word(phrase, value)
+    for phrase in phrases:
+        out.add_word(phrase, None)
     out.make_automaton()
     return out
 
 
-def _locate(window: int):
+def _locate(window: int, gram: int):
     def each(docs: pa.Table, told: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         scan, words, at, ids = _windows(docs, window)
@@ -258,10 +263,11 @@ def _locate(window: int):
                 code.update(dict.fromkeys(compress(*homed), ""))
             width = codes(code)
             coded = {d: "".join([code[w] if c else "\0" * width for w, c in zip(*home)]) for d, home in homes.items()}
-            begin = (first - scan.first[scan.doc[first]]) * width
-            at_word = zip(scan.doc[first].tolist(), begin.tolist(), value.tolist())
-            found = automaton((coded[d][i : i + window * width], v) for d, i, v in at_word)
-            del homes, coded, at_word
+            begin, home = first - scan.first[scan.doc[first]], scan.doc[first].tolist()
+            anchor = begin + _anchors(words, window, gram)[1][first]
+            known = {coded[d][i * width : (i + window) * width]: v for d, i, v in zip(home, begin.tolist(), value.tolist())}
+            found = automaton({coded[d][i * width : (i + gram) * width] for d, i in zip(home, anchor.tolist())})
+            del homes, coded
         out = []
         for d, doc_id in enumerate(docs["doc_id"].to_pylist()):
             text, n = (texts[d].as_py() or "").encode(), int(scan.n_words[d])
@@ -269,17 +275,17 @@ def _locate(window: int):
                 out.append((doc_id, n, 0, joined(text).decode()))
                 continue
             parts, gone, me = text.split(), 0, int(NULL_ID) if doc_id is None else doc_id
-            unknown, until, keep_ = "\0" * width, 0, []
-            for last, smallest in found.iter("".join([code.get(w, unknown) for w in parts])):
-                if smallest < me:
-                    end = last // width
-                    begin = end - window + 1
-                    if begin > until:
-                        keep_.append((until, begin))
-                        gone += end + 1 - begin
-                    else:
-                        gone += end + 1 - until
-                    until = end + 1
+            unknown, until, keep_, seen = "\0" * width, 0, [], 0
+            coded = "".join([code.get(w, unknown) for w in parts])
+            for last, _ in found.iter(coded):
+                start = (last + 1) // width - gram
+                for begin in range(max(seen, start - window + gram), min(start, n - window) + 1):
+                    if known.get(coded[begin * width : (begin + window) * width], me) < me:
+                        if begin > until:
+                            keep_.append((until, begin))
+                        gone += begin + window - max(begin, until)
+                        until = begin + window
+                seen = start + 1
             if gone:
                 keep_.append((until, n))
                 parts = [w for a, b in keep_ for w in parts[a:b]]
@@ -335,8 +341,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digests: bool
     docs, shard, told = _located(docs.select("doc_id", "text"), window, gram)
     pairs = docs.groupBy(shard).cogroup(told.groupBy("shard"))
     if digests:
-        return pairs.applyInArrow(_digests(_locate(window)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return pairs.applyInArrow(_locate(window), _OUT)
+        return pairs.applyInArrow(_digests(_locate(window, gram)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return pairs.applyInArrow(_locate(window, gram), _OUT)
 
 
 def rewritten(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -344,4 +350,4 @@ def rewritten(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
     names = docs.columns
     docs, shard, told = _located(docs, window, gram)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.drop(shard).dtypes)
-    return docs.groupBy(shard).cogroup(told.groupBy("shard")).applyInArrow(_rewrite(_locate(window), shard), schema).select(*names)
+    return docs.groupBy(shard).cogroup(told.groupBy("shard")).applyInArrow(_rewrite(_locate(window, gram), shard), schema).select(*names)
