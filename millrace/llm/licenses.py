@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_KNOWN = 10_000
@@ -131,18 +131,28 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
-def known(spark, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license): one row a digest."""
-    rows = spark.createDataFrame(texts, "license string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def folder(spark: SparkSession, path: str) -> DataFrame:
+    """(license, text) of a folder of whole texts, each named by its file without the ending; names before a first ``@`` are one licence."""
+    name = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"(@.*)?\.[A-Za-z]+$", "")
+    return spark.read.text(path, wholetext=True).select(name.alias("license"), F.col("value").alias("text"))
 
 
-def scan(docs: DataFrame, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(doc_id, canonical_chars, digest, license) of every document; license is null where the entire text is none."""
+def known(spark: SparkSession, texts: list[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
+    """(digest, license): one row a digest. Texts that normalise to nothing are no licence."""
+    rows = texts.select("license", "text") if isinstance(texts, DataFrame) else spark.createDataFrame(texts, "license string, text string")
+    rows = rows.select(canonical(F.col("text")).alias("form"), "license").where("form <> ''")
+    return rows.select(F.sha2("form", 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+
+
+def scan(docs: DataFrame, texts: list[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
+    """(doc_id, canonical_chars, digest, license) of every document; license is null where the entire text is none.
+
+    texts: pairs of name and text, or a table (license, text), such as ``folder`` gives; a table is left to the planner to join.
+    """
     form = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(canonical(F.col("text")), F.lit("")).alias("canonical"))
     rows = form.select("doc_id", F.length("canonical").cast("long").alias("canonical_chars"), F.sha2("canonical", 256).alias("digest"))
     table = known(docs.sparkSession, texts)
-    if len(texts) <= MOST_KNOWN:
+    if not isinstance(texts, DataFrame) and len(texts) <= MOST_KNOWN:
         table = F.broadcast(table)
     return rows.join(table, "digest", "left").select("doc_id", "canonical_chars", "digest", F.when(F.col("canonical_chars") > 0, F.col("license")).alias("license"))
 

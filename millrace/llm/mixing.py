@@ -5,8 +5,8 @@ what is cut off is shared among the others by weight until none is above. A sour
 each document floor(target / size) times, and once more where the document's hash is
 below the source's threshold. The threshold is found by summing words by source and hash
 bucket, walking the buckets up to what is wanted, and refining the boundary bucket alone
-by its next 12 bits; documents are filtered by it, never sorted. The driver sees a row a
-source.
+by its next 12 bits; documents are filtered by it, never sorted. What is known of a source
+is a row of a table; the driver sees sums over all sources only.
 
 Defined cases: null text has size 0; a null source is a source of its own, the last in
 order; a source of size 0 has target 0; the last boundary (documents that hash alike,
@@ -17,36 +17,38 @@ text; other columns don't matter; an empty table gives an empty result.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import fresh, keep, sole, tune
+from millrace.operators.ranks import with_rank
 
 BITS, STEP = 63, 12
 MOST_BROADCAST = 100_000  # rows about sources; beyond it the join is left to the planner
 
 
-def targets(sizes: dict[str | None, int], weights=(1, 2, 3), most: int = 3) -> dict[str | None, float]:
-    """Each source's target; sources in code point order, null last, have the weights in turn."""
-    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, open_, out = float(sum(sizes.values())), set(sizes), {}
-    while open_:
-        share = left / sum(weight[s] for s in open_)
-        over = [s for s in order if s in open_ and share * weight[s] > most * sizes[s]]
-        if not over:
-            out |= {s: share * weight[s] for s in open_}
-            break
-        for s in over:
-            out[s] = float(most * sizes[s])
-            left -= out[s]
-            open_.remove(s)
-    return out
+def _about(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= MOST_BROADCAST else table
 
 
-def _about(spark, rows: list[tuple], schema: str) -> DataFrame:
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= MOST_BROADCAST else df
+def targets(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
+    """(source, n, target) of (source, n); sources in code point order, null last, have the weights in turn.
+
+    What a unit of weight gets rises as sources reach their limit, until no further one does: a sum over the sources a round.
+    """
+    ranked = with_rank(sizes.withColumn("absent", F.col("source").isNull()), ["absent", "source"], "i")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
+    table = keep(ranked.select("source", "n", weight.alias("w")))
+    share, over = 0.0, F.lit(False)
+    while True:
+        row = table.agg(F.sum("n").alias("n"), F.sum(F.when(over, F.col("n"))).alias("shut"), F.sum(F.when(~over, F.col("w"))).alias("w")).first()
+        now = ((row.n or 0) - most * (row.shut or 0)) / row.w if row.w else share
+        if now <= share:
+            break
+        share = now
+        over = F.lit(share) * F.col("w") > F.lit(most) * F.col("n")
+    target = F.when(over, (F.lit(most) * F.col("n")).cast("double")).otherwise(F.lit(share) * F.col("w"))
+    return table.select("source", "n", target.alias("target"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -63,34 +65,37 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").select("doc_id", "source", "text", hashed).mapInArrow(each, "doc_id long, source string, size long, h long")
 
 
-def thresholds(rows: DataFrame, wanted: dict[str | None, float]) -> dict[str | None, int]:
-    """By source the largest hash that is taken once more (-1: none), so that these words come nearest to those wanted."""
-    spark = rows.sparkSession
-    upto = {s: -1 for s, n in wanted.items() if n <= 0}
-    at = {s: (0, n) for s, n in wanted.items() if n > 0}  # prefix, words still wanted beyond it
-    shift, part = BITS, rows
-    while at:
-        step = min(STEP, shift)
-        edges = _about(spark, [(s, p, float(n)) for s, (p, n) in at.items()], "s string, p long, n double")
-        part = part.join(edges, F.col("source").eqNullSafe(F.col("s")) & (F.shiftrightunsigned("h", shift).cast("long") == F.col("p")) if shift < BITS else F.col("source").eqNullSafe(F.col("s"))).where("size > 0")
-        shift -= step
-        hist = part.groupBy("source", "n", F.shiftrightunsigned("h", shift).alias("b")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
-        upon = Window.partitionBy("source").orderBy("b")
-        hist = hist.withColumn("upto", F.sum("words").over(upon))
-        boundary = hist.where("upto > n AND upto - words <= n").select("source", "b", "docs", "n", "words", "upto")
-        found = {r.source: r for r in boundary.collect()}
-        part = part.drop("s", "p", "n")
-        for s in list(at):
-            prefix, n = at.pop(s)
-            r = found.get(s)
-            if r is None:  # all of the prefix is wanted
-                upto[s] = ((prefix + 1) << (shift + step)) - 1
-            elif r.docs > 1 and shift:
-                at[s] = (r.b, n - (r.upto - r.words))
-            else:
-                before = r.upto - r.words
-                upto[s] = ((r.b + 1) << shift) - 1 if r.upto - n <= n - before else (r.b << shift) - 1
-    return upto
+def _same(source: str, other: str) -> Column:
+    return F.col(source).eqNullSafe(F.col(other))
+
+
+def thresholds(rows: DataFrame, wanted: DataFrame, sources: int) -> DataFrame:
+    """(s, upto): by source the largest hash that is taken once more (-1: none), so that these words come nearest to those wanted.
+
+    rows: (source, size, h); wanted: (s, n), the words.
+    """
+    closed = [wanted.where("n <= 0").select("s", F.lit(-1).cast("long").alias("upto"))]
+    open_ = keep(wanted.where("n > 0").select("s", "n", F.lit(0).cast("long").alias("p")))  # p: the bucket in whose hashes the threshold lies
+    shift, left = BITS, open_.count()
+    while left:
+        above, shift = shift, shift - min(STEP, shift)
+        inside = _same("source", "s") & (F.shiftrightunsigned("h", above) == F.col("p") if above < BITS else F.lit(True))
+        part = rows.where("size > 0").join(_about(open_, sources), inside)
+        hist = part.groupBy("s", "n", "p", F.shiftrightunsigned("h", shift).alias("b")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+        hist = hist.withColumn("upto", F.sum("words").over(Window.partitionBy("s").orderBy("b")))
+        at = hist.where("upto > n AND upto - words <= n").select(F.col("s").alias("t"), "b", "docs", "words", "upto")
+        found = keep(open_.join(_about(at, sources), _same("s", "t"), "left"))
+        first, end = (lambda c: F.shiftleft(F.col(c), shift)), F.shiftleft(F.lit(1).cast("long"), shift) - 1
+        whole = F.lit(2**63 - 1).cast("long") if above >= BITS else F.shiftleft(F.col("p"), above) + ((1 << above) - 1)
+        nearer = F.when(F.col("upto") - F.col("n") <= F.col("n") - (F.col("upto") - F.col("words")), first("b") + end).otherwise(first("b") - 1)
+        refine = F.col("b").isNotNull() & (F.col("docs") > 1) & F.lit(shift > 0)
+        closed.append(found.where(~refine).select("s", F.when(F.col("b").isNull(), whole).otherwise(nearer).cast("long").alias("upto")))
+        open_ = keep(found.where(refine).select("s", (F.col("n") - (F.col("upto") - F.col("words"))).alias("n"), F.col("b").alias("p")))
+        left = open_.count()
+    out = closed[0]
+    for more in closed[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
@@ -100,14 +105,15 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
 
 
 def _plan(rows: DataFrame, weights, most) -> DataFrame:
-    spark = rows.sparkSession
-    sizes = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    goal = targets(sizes, weights, most)
-    times = {s: min(most, int(goal[s] // n)) if n else 0 for s, n in sizes.items()}
-    upto = thresholds(rows, {s: goal[s] - times[s] * n if times[s] < most else 0.0 for s, n in sizes.items()})
-    plan = _about(spark, [(s, n, goal[s], times[s], upto[s]) for s, n in sizes.items()], "s string, source_size long, target double, times int, upto long")
+    goal = keep(targets(rows.groupBy("source").agg(F.sum("size").alias("n")), weights, most))
+    sources = goal.count()
+    times = F.when(F.col("n") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("n")))).otherwise(0).cast("int")
+    plan = keep(goal.select(F.col("source").alias("s"), F.col("n").alias("source_size"), "target", times.alias("times")))
+    rest = F.when(F.col("times") < most, F.col("target") - F.col("times") * F.col("source_size")).otherwise(F.lit(0.0))
+    upto = thresholds(rows, plan.select("s", rest.alias("n")), sources).select(F.col("s").alias("t"), "upto")
+    plan = keep(plan.join(_about(upto, sources), _same("s", "t")).drop("t"))
     copies = (F.col("times") + (F.col("h") <= F.col("upto")).cast("int")).alias("copies")
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "h", "size", "source_size", "target", copies)
+    out = rows.join(_about(plan, sources), _same("source", "s")).select("doc_id", "source", "h", "size", "source_size", "target", copies)
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 

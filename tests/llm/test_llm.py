@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -338,9 +339,12 @@ def test_mixing(spark):
         sizes[r.source] = sizes.get(r.source, 0) + r.size
         taken[r.source] = taken.get(r.source, 0) + r.taken
         assert r.taken <= 3 * r.size and r.size == len((texts[r.doc_id] or "").split())
-    goal = mixing.targets(sizes)
+    goal = {r.source: r.target for r in rows}
     assert all(abs(taken[s] - goal[s]) <= 40 for s in sizes) and abs(sum(goal.values()) - sum(sizes.values())) < 1e-6
-    assert mixing.targets({"a": 100, "b": 1, None: 1}) == {"a": 96.0, "b": 3.0, None: 3.0}
+    of = lambda *rows: {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, n long")).collect()}
+    assert of(("a", 100), ("b", 1), (None, 1)) == {"a": 96.0, "b": 3.0, None: 3.0} and of((None, 0)) == {None: 0.0}
+    many = of(*[(f"s{i:04}", i) for i in range(2000)])
+    assert abs(sum(many.values()) - 1999 * 1000) < 1e-3 and all(many[f"s{i:04}"] <= 3 * i for i in range(2000))
     assert mixing.mixed(df).count() == sum(r.copies for r in rows if r.size)
 
 
@@ -665,7 +669,7 @@ def test_odd_vectors(spark):
     assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_licenses_near_misses(spark):
+def test_licenses_near_misses(spark, tmp_path):
     """Every known text is found whole, and not with a word changed, taken away or added: against a plain dictionary of digests."""
     known = {}
     plain = lambda t: spark.range(1).select(licenses.canonical(F.lit(t))).first()[0]
@@ -683,5 +687,15 @@ def test_licenses_near_misses(spark):
     for i, (name, t) in enumerate(licenses.KNOWN):
         a = [got[7 * i + j] for j in range(7)]
         assert a[:3] == [known[forms[i]]] * 3 and a[3:] == [None] * 4, name
+    system = Path("/usr/share/common-licenses")
+    (tmp_path / "Own-2.0@short.txt").write_text("Do what\nyou like.")
+    (tmp_path / "Own-2.0.txt").write_text("Do as you like, by Own 2.0.")
+    (tmp_path / "Nothing.txt").write_text("!!!")
+    got = licenses.scan(docs(spark, ["do what you LIKE", "Do as you like: by Own 2.0", "do", "..."]), licenses.folder(spark, str(tmp_path))).orderBy("doc_id").collect()
+    assert [r.license for r in got] == ["Own-2.0", "Own-2.0", None, None]
+    if (system / "Artistic").exists():
+        text = (system / "Artistic").read_text()
+        got = licenses.scan(docs(spark, [text, text + " x"]), [("Artistic", text)]).orderBy("doc_id").collect()
+        assert [r.license for r in got] == ["Artistic", None]
     own = licenses.scan(docs(spark, ["My own licence, line\nby line."]), [("Own-1.0", "my own LICENSE line by line")]).first()
     assert own.license == "Own-1.0" and plain("a") == "a"
