@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.windows import fixed, sliding, times
+from millrace.operators.windows import fixed, micros, sliding, times
+
+STRETCH = 10_000
 
 
 def keyed(df: DataFrame, size: str, keys: list, ts: str = "ts", keep_window: bool = False, **aggs: Column) -> DataFrame:
@@ -28,9 +30,16 @@ def windowed(df: DataFrame, size: str, ts: str = "ts", **aggs: Column) -> DataFr
 
 
 def dense(agg: DataFrame, size: str, **empty) -> DataFrame:
-    """Adds the windows without data between the first and the last, with the given values. Batch only."""
-    ends = agg.agg(F.min("start").alias("a"), F.max("start").alias("z")).where("a IS NOT NULL")
-    all_ = ends.select(F.explode(F.sequence("a", "z", F.expr(f"INTERVAL {size}"))).alias("start"))
+    """Adds the windows without data between the first and the last, with the given values. Batch only.
+
+    Windows are made a stretch of ``STRETCH`` at a time, so that a long span is many tasks' work. The aggregate is planned twice, for its ends and its rows.
+    """
+    n = F.lit(micros(size))
+    at = lambda c: F.timestamp_micros(c)
+    ends = agg.agg(F.min(F.unix_micros("start")).alias("a"), F.max(F.unix_micros("start")).alias("z")).where("a IS NOT NULL")
+    long = n * STRETCH
+    parts = ends.select(F.explode(F.sequence("a", "z", long)).alias("a"), "z").repartition("a")
+    all_ = parts.select(F.explode(F.sequence("a", F.least("z", F.col("a") + long - n), n)).alias("start")).select(at("start").alias("start"))
     out = all_.join(agg, "start", "left").withColumn("end", F.col("start") + F.expr(f"INTERVAL {size}"))
     for name, value in empty.items():
         out = out.withColumn(name, F.coalesce(name, F.lit(value)))
