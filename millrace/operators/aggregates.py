@@ -34,13 +34,14 @@ def dense(agg: DataFrame, size: str, **empty) -> DataFrame:
 
     Windows are made a stretch of ``STRETCH`` at a time, so that a long span is many tasks' work. The aggregate is planned twice, for its ends and its rows.
     """
-    n = F.lit(micros(size))
+    step = micros(size)
+    n, long = F.lit(step).cast("long"), F.lit(step * STRETCH).cast("long")
     at = lambda c: F.timestamp_micros(c)
+    tasks = int(agg.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or the few rows are coalesced into one task
     ends = agg.agg(F.min(F.unix_micros("start")).alias("a"), F.max(F.unix_micros("start")).alias("z")).where("a IS NOT NULL")
-    long = n * STRETCH
-    parts = ends.select(F.explode(F.sequence("a", "z", long)).alias("a"), "z").repartition("a")
+    parts = ends.select(F.explode(F.sequence("a", "z", long)).alias("a"), "z").repartition(tasks, "a")
     all_ = parts.select(F.explode(F.sequence("a", F.least("z", F.col("a") + long - n), n)).alias("start")).select(at("start").alias("start"))
-    out = all_.join(agg, "start", "left").withColumn("end", F.col("start") + F.expr(f"INTERVAL {size}"))
+    out = all_.join(agg, "start", "left").withColumn("end", at(F.unix_micros("start") + n))
     for name, value in empty.items():
         out = out.withColumn(name, F.coalesce(name, F.lit(value)))
     return out.select(*agg.columns)

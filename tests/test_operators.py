@@ -156,6 +156,41 @@ def test_windows_by_arrival_and_sliding(spark):
     assert sorted(map(tuple, got)) == [(at(-60), 2), (at(0), 3), (at(60), 1)]
 
 
+@pytest.mark.parametrize("size,stretch", [("1 second", None), ("5 minutes", None), ("35 minutes", None), ("1 day", None), ("5 minutes", 1), ("5 minutes", 3)])
+def test_dense_windows(spark, monkeypatch, size, stretch):
+    monkeypatch.setattr(aggregates, "STRETCH", stretch or aggregates.STRETCH)
+    step, epoch = dt.timedelta(microseconds=windows.micros(size)), dt.datetime(1970, 1, 1)
+    rows = [(epoch + 7.5 * step, 1), (epoch - 2.5 * step, 2), (epoch + 7.25 * step, 4), (epoch + 2 * step, None), (None, 8)]
+
+    def dense(rows):
+        df = spark.createDataFrame(rows, "ts timestamp, v long")
+        return aggregates.dense(aggregates.windowed(df, size, total=F.sum("v")), size, total=0)
+
+    want = [(epoch + i * step, epoch + (i + 1) * step, {-3: 2, 7: 5}.get(i, 0)) for i in range(-3, 8)]
+    assert sorted(map(tuple, dense(rows).collect())) == want
+    assert dense([]).count() == 0 and dense(rows[-1:]).count() == 0
+
+
+def test_dense_windows_over_a_long_span(spark):
+    df = spark.createDataFrame([(0, 1), (99_999, 2)], "s long, v long").select(F.timestamp_seconds("s").alias("ts"), "v")
+    got = aggregates.dense(aggregates.windowed(df, "1 second", total=F.sum("v")), "1 second", total=0)
+    a = F.unix_seconds("start")
+    assert tuple(got.agg(F.count("*"), F.countDistinct("start"), F.min(a), F.max(a), F.sum("total")).first()) == (100_000, 100_000, 0, 99_999, 3)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_windows_keep_their_length_as_clocks_change(spark):
+    df = spark.createDataFrame([(1711670400, 1), (1711929600, 2)], "s long, v long").select(F.timestamp_seconds("s").alias("ts"), "v")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        got = aggregates.dense(aggregates.windowed(df, "1 day", total=F.sum("v")), "1 day", total=0)
+        days = got.select(F.unix_seconds("start").alias("a"), F.unix_seconds("end").alias("z"), "total").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(map(tuple, days)) == [(1711670400 + i * 86400, 1711756800 + i * 86400, (1, 0, 0, 2)[i]) for i in range(4)]
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text('12\nx\n-7\n{"text": "hi", "n": 3}\n{"limit": 1}\n')
