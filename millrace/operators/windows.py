@@ -53,7 +53,7 @@ def session_bounds(w: Column | str) -> list[Column]:
 
 
 def count_windows(df: DataFrame, n: int, order: list[str], compat: bool = False, parts: int | None = None) -> DataFrame:
-    """Adds ``win_id``: every n records in ``order`` (unique). Batch only; see streaming.count_windows.
+    """Adds ``win_id``: every n records in ``order`` (unique, or which of the rows that tie at an edge goes where hangs on the input's layout). Batch only; see streaming.count_windows.
 
     ``compat`` numbers records from 1 before dividing, so that window 0 holds n - 1 of them.
     Ranks come from a range-partitioned sort and each range's offset (a row a range

@@ -415,7 +415,8 @@ def nyt_trips_avg(spark, d):
 @query(f"SELECT CAST((rn - 1) // 1000 AS BIGINT) AS win_id, CAST(sum(d) AS BIGINT) AS total FROM (SELECT CAST(trunc(l_quantity) AS BIGINT) AS d, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem WHERE l_quantity > 5.0 AND l_returnflag LIKE 'R%') GROUP BY 1")
 def nyt_countbased(spark, d):
     rows = S.table(spark, d, "lineitem").where("l_quantity > 5.0 AND l_returnflag LIKE 'R%'").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("d"))
-    return W.count_windows(rows, 1000, ["l_orderkey", "l_linenumber"]).groupBy("win_id").agg(F.sum("d").alias("total"))
+    # Lines share order and number, so the distance decides among them: rows alike in all three give the same totals in any order.
+    return W.count_windows(rows, 1000, ["l_orderkey", "l_linenumber", "d"]).groupBy("win_id").agg(F.sum("d").alias("total"))
 
 
 _BIDS = f"(SELECT {_bucket('7 days', 'l_shipdate')} AS start, l_partkey AS auction, {_CENTS} AS price FROM lineitem)"
