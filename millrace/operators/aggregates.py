@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,8 +82,33 @@ def sketch_distinct(value: str) -> Column:
 
 
 def reducer(returns: str):
-    """A decorator: a function from a pandas Series of one group to a value becomes a grouped aggregate. The group must fit a worker."""
-    return lambda f: F.pandas_udf(f, returns)
+    """A decorator: a function from a pandas Series of one group to a value becomes a grouped aggregate. The group must fit a worker.
+
+    Groups are collected and reach Python many in a batch, as a batch a group costs more than most functions do.
+    """
+
+    def over(f):
+        def each(groups: pa.Array) -> pa.Array:
+            return pa.array([f(g) for g in _series(groups)], from_pandas=True)
+
+        values = F.arrow_udf(each, returns)
+        return lambda value: values(F.collect_list(F.struct((F.col(value) if isinstance(value, str) else value).alias("v")))["v"])
+
+    return over
+
+
+def _series(groups: pa.Array) -> Iterator[pd.Series]:
+    """Lists as pandas Series, times without a zone. Only a list that has nulls itself is converted by itself: its integers become floats."""
+    flat, lengths = groups.flatten(), groups.value_lengths().to_pylist()
+    whole, at = _pandas(flat).to_numpy() if flat.null_count == 0 else None, 0
+    for n in lengths:
+        yield _pandas(flat.slice(at, n)) if whole is None else pd.Series(whole[at : at + n])
+        at += n
+
+
+def _pandas(values: pa.Array) -> pd.Series:
+    out = values.to_pandas(date_as_object=True, coerce_temporal_nanoseconds=True)
+    return out.dt.tz_localize(None) if isinstance(out.dtype, pd.DatetimeTZDtype) else out
 
 
 class Fold:
@@ -114,5 +140,5 @@ def fold(df: DataFrame, fn: Fold, keys: list[str], value: str, name: str, return
     def whole(states: pd.Series) -> str:
         return json.dumps(reduce(fn.merge, map(json.loads, states)))
 
-    merged = df.select(*keys, value).mapInPandas(part, shape).groupBy(*keys).agg(F.pandas_udf(whole, "string")("state").alias(name))
+    merged = df.select(*keys, value).mapInPandas(part, shape).groupBy(*keys).agg(reducer("string")(whole)("state").alias(name))
     return merged.withColumn(name, F.col(name).cast(returns))

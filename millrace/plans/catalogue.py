@@ -633,8 +633,10 @@ def keyed_reduce(spark, d):
     return A.keyed(_events(spark, d).select("ts", F.col("user_id").alias("key"), "event_id"), "1 day", ["key"], spread=spread("event_id")).drop("end")
 
 
-def _spread(values: pd.Series) -> int:
-    return int(values.max() - values.min())
+def _spread(values: pd.Series) -> int | None:
+    known = values.to_numpy()
+    known = known[known == known]
+    return int(known.max() - known.min()) if known.size else None
 
 
 @query("SELECT event_id, user_id FROM events")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import aggregates, joins, ranks, road, windows
+from millrace.plans.catalogue import _spread
 from millrace.sources import readers
 from millrace.streaming import run
 
@@ -144,6 +145,26 @@ def test_folds_and_reducers(spark):
     assert abs(near - 50) <= 5
 
 
+def test_reducers_take_many_groups_a_batch(spark):
+    def told(x: pd.Series) -> str:
+        return f"{x.dtype} {list(x.index)} {sorted(map(str, x))}"
+
+    big = 2**60 + 1
+    rows = [(i % 700, big + i, i / 3, str(i), at(i), i % 2 == 0) for i in range(2100)] + [(900, None, None, None, None, None), (901, 5, 1.0, "a", None, True), (901, None, None, None, at(1), None), (None, 7, float("nan"), "b", at(2), False)]
+    df = spark.createDataFrame(rows, "k long, i long, d double, s string, t timestamp, b boolean").repartition(5)
+    for c in ("i", "d", "s", "t", "b"):
+        got = df.groupBy("k").agg(aggregates.reducer("string")(told)(c).alias("told"))
+        assert sorted(got.collect(), key=str) == sorted(df.groupBy("k").agg(F.pandas_udf(told, "string")(c).alias("told")).collect(), key=str)
+    got = df.groupBy("k").agg(aggregates.reducer("long")(_spread)(F.col("i")).alias("spread"), F.count("*").alias("n"))
+    assert {r.k: (r.spread, r.n) for r in got.collect()} == {**{k: (1400, 3) for k in range(700)}, 900: (None, 1), 901: (0, 2), None: (0, 1)}
+    folded = aggregates.fold(df, aggregates.Fold(), ["k"], "i", "f")
+    for frame in (got, folded):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" in plan and "AggregatePython" not in plan and "AggregateInPandas" not in plan
+    assert df.where("k < 0").groupBy("k").agg(aggregates.reducer("long")(_spread)("i").alias("spread")).collect() == []
+    assert [r.spread for r in df.where("k < 0").agg(aggregates.reducer("long")(_spread)("i").alias("spread")).collect()] == [None]
+
+
 def _mean(x: pd.Series) -> float:
     return float(x.mean())
 
